@@ -1 +1 @@
-
+"""Operators on text and on similarity of records."""
