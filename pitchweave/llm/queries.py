@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitchweave.llm.bpe import encode_corpus
 from pitchweave.llm.nearest_time import nearest_in_time
 from pitchweave.llm.sql import SQL  # noqa: F401
 from pitchweave.sources.tables import table
@@ -18,4 +19,8 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(*keys, "fid", "frame")
 
 
-QUERIES = {"p3_found": p3_found}
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode_corpus(table(spark, sf, "documents"))
+
+
+QUERIES = {"p3_found": p3_found, "p7_ids": p7_ids}
