@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchweave.llm.bpe import encode_corpus
+from pitchweave.llm.mojibake import repair_encoding
 from pitchweave.llm.nearest_time import nearest_in_time
 from pitchweave.llm.sql import SQL  # noqa: F401
 from pitchweave.sources.tables import table
@@ -23,4 +24,12 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(table(spark, sf, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p7_ids": p7_ids}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return repair_encoding(table(spark, sf, "documents")).where("garbled").select("doc_id")
+
+
+def p9_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    return repair_encoding(table(spark, sf, "documents")).where("garbled").select("doc_id", "repaired", "whole")
+
+
+QUERIES = {"p3_found": p3_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_repaired": p9_repaired}
