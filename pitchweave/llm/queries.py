@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchweave.llm.bpe import encode_corpus
+from pitchweave.llm.leak import find_leaks
 from pitchweave.llm.mojibake import repair_encoding
 from pitchweave.llm.nearest_time import nearest_in_time
 from pitchweave.llm.sql import SQL  # noqa: F401
@@ -24,6 +25,15 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(table(spark, sf, "documents"))
 
 
+def p8_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages and items of p8_found with the lines to remove."""
+    return find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_spans(spark, sf).select("doc_id", "item_id")
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return repair_encoding(table(spark, sf, "documents")).where("garbled").select("doc_id")
 
@@ -32,4 +42,4 @@ def p9_repaired(spark: SparkSession, sf: str) -> DataFrame:
     return repair_encoding(table(spark, sf, "documents")).where("garbled").select("doc_id", "repaired", "whole")
 
 
-QUERIES = {"p3_found": p3_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_repaired": p9_repaired}
+QUERIES = {"p3_found": p3_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found, "p9_repaired": p9_repaired}
