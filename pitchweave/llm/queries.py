@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchweave.llm.bpe import encode_corpus
+from pitchweave.llm.knn import most_similar
 from pitchweave.llm.leak import find_leaks
 from pitchweave.llm.mojibake import repair_encoding
 from pitchweave.llm.nearest_time import nearest_in_time
@@ -21,6 +22,14 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(*keys, "fid", "frame")
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    parts = []
+    for src in ("boxes", "detections"):
+        top = most_similar(table(spark, sf, src), id="box_id", vector="reid", dim=512, k=3)
+        parts.append(top.select(F.lit(src).alias("src"), F.least("id", "other").alias("box_id_a"), F.greatest("id", "other").alias("box_id_b")).distinct())
+    return parts[0].unionByName(parts[1])
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(table(spark, sf, "documents"))
 
@@ -42,4 +51,4 @@ def p9_repaired(spark: SparkSession, sf: str) -> DataFrame:
     return repair_encoding(table(spark, sf, "documents")).where("garbled").select("doc_id", "repaired", "whole")
 
 
-QUERIES = {"p3_found": p3_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found, "p9_repaired": p9_repaired}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found, "p9_repaired": p9_repaired}
