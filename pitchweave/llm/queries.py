@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitchweave.llm.bpe import encode_corpus
 from pitchweave.llm.knn import most_similar
 from pitchweave.llm.leak import find_leaks
+from pitchweave.llm.mcl import clusters, half_roots
 from pitchweave.llm.mojibake import repair_encoding
 from pitchweave.llm.nearest_time import nearest_in_time
 from pitchweave.llm.sql import SQL  # noqa: F401
@@ -30,6 +32,32 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def kit_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    boxes, tracklets = table(spark, sf, "boxes"), table(spark, sf, "tracklets")
+    # a tracklet's histogram is the sum of those it has, each half of each scaled to 1
+    each = F.transform(F.filter("feats", lambda h: F.size(h) == 30), lambda h: F.transform(half_roots(h, 15), lambda x: x.cast("double") * x))
+    zero = F.array_repeat(F.lit(0.0), 30)
+    feats = F.aggregate(each, zero, lambda a, h: F.zip_with(a, h, lambda x, y: x + y))
+    return clusters(
+        {
+            "boxes": (boxes.where(F.size("color") == 30), "box_id", half_roots(F.col("color"), 15)),
+            "tracklets": (tracklets.where(F.size("feats") > 0), "track_id", half_roots(feats, 15)),
+        },
+        dim=30,
+    )
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return kit_clusters(spark, sf).select("src", "id", "cluster_id")
+
+
+def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Size and three most typical members of each group of p6_found."""
+    rank = F.row_number().over(W.partitionBy("src", "cluster_id").orderBy(F.desc("flow"), "id"))
+    top = kit_clusters(spark, sf).withColumn("r", rank).where(F.col("r") <= 3)
+    return top.groupBy("src", "cluster_id").agg(F.max("size").alias("size"), F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda e: e["id"]).alias("typical"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(table(spark, sf, "documents"))
 
@@ -51,4 +79,4 @@ def p9_repaired(spark: SparkSession, sf: str) -> DataFrame:
     return repair_encoding(table(spark, sf, "documents")).where("garbled").select("doc_id", "repaired", "whole")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found, "p9_repaired": p9_repaired}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found, "p9_repaired": p9_repaired}
