@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchweave.plans import cleaning
+from pitchweave.plans import cleaning, players
 
-MODULES = [cleaning]
+MODULES = [cleaning, players]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
