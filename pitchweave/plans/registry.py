@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchweave.plans import cleaning, players
+from pitchweave.plans import cameras, cleaning, players
 
-MODULES = [cleaning, players]
+MODULES = [cleaning, players, cameras]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
