@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,3 +45,12 @@ def quantise(a: Column) -> Column:
 
 def dequantise(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double") / 255)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once for a row however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)

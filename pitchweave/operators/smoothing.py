@@ -26,7 +26,7 @@ def smooth_tracks(df: DataFrame, *, keys: list[str], order: str, dt: str, method
         k, blk = g["k_"].to_numpy(), int(g["_blk"].iloc[0])
         own, dt_ = k[g["_core"].to_numpy(bool)], float(g["dt_"].iloc[0])
         if not len(own):
-            return pd.DataFrame({**{c: [] for c in keys}, "k_": [], "x": [], "y": []})
+            return g[[*keys, "k_", "x", "y"]].iloc[:0]
         grid = {}
         for c in ("x", "y"):
             v = np.full(k[-1] - k[0] + 1, np.nan)
@@ -39,7 +39,8 @@ def smooth_tracks(df: DataFrame, *, keys: list[str], order: str, dt: str, method
             out[c] = blank_long_gaps(smooth_positions(v, dt_), seen, int(gap_s / dt_)) if method == "kalman" else local_polynomial(v)
         at = np.arange(k[0], k[-1] + 1)
         inside = (at >= blk * block) & (at < (blk + 1) * block)
-        return pd.DataFrame({**{c: g[c].iloc[0] for c in keys}, "k_": at, **out})[inside]
+        n = int(inside.sum())
+        return pd.DataFrame({**{c: [g[c].iloc[0]] * n for c in keys}, "k_": at[inside], **{c: v[inside] for c, v in out.items()}})
 
     done = rows.groupBy(*keys, "_blk").applyInPandas(kernel, f"{fields}, k_ bigint, x double, y double")
     return done.where("x is not null and not isnan(x)").select(*keys, F.col("k_").alias(order), "x", "y")
@@ -73,7 +74,8 @@ def assign_pairs(pairs: DataFrame, *, group: list[str], a: str, b: str, cost: st
         cost_ = np.where(m.isna(), far, np.minimum(m.fillna(far), far))
         r, c = assign(cost_)
         good = cost_[r, c] < far
-        return pd.DataFrame({**{k: g[k].iloc[0] for k in group}, "a_": m.index.to_numpy()[r[good]], "b_": m.columns.to_numpy()[c[good]], "c_": cost_[r, c][good]})
+        n = int(good.sum())
+        return pd.DataFrame({**{k: [g[k].iloc[0]] * n for k in group}, "a_": m.index.to_numpy()[r[good]], "b_": m.columns.to_numpy()[c[good]], "c_": cost_[r, c][good]})
 
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("a_", "b_")}
     done = rows.groupBy(*group).applyInPandas(kernel, f"{fields}, a_ {kinds['a_']}, b_ {kinds['b_']}, c_ double")

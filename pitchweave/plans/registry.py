@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchweave.plans import cameras, cleaning, players
+from pitchweave.plans import cameras, cleaning, players, streams, tracks
 
-MODULES = [cleaning, players, cameras]
+MODULES = [cleaning, players, cameras, tracks, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
