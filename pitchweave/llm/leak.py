@@ -472,7 +472,8 @@ def find_leaks(
             evaluation = Evaluation(shared.value, least)
             for ids, pieces in _shards(batches):
                 out = [(ids[t], *rest) for t, *rest in leaks(pieces, evaluation)]
-                yield pd.DataFrame(out, columns=["d", "i", "words", "first_line", "last_line"])
+                if out:
+                    yield pd.DataFrame(out, columns=["d", "i", "words", "first_line", "last_line"])
 
         part = rows.mapInPandas(run, kinds)
         found = part if found is None else found.unionByName(part)
