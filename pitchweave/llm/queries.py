@@ -34,10 +34,9 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def kit_clusters(spark: SparkSession, sf: str) -> DataFrame:
     boxes, tracklets = table(spark, sf, "boxes"), table(spark, sf, "tracklets")
-    # a tracklet's histogram is the sum of those it has, each half of each scaled to 1
-    each = F.transform(F.filter("feats", lambda h: F.size(h) == 30), lambda h: F.transform(half_roots(h, 15), lambda x: x.cast("double") * x))
-    zero = F.array_repeat(F.lit(0.0), 30)
-    feats = F.aggregate(each, zero, lambda a, h: F.zip_with(a, h, lambda x, y: x + y))
+    # a tracklet's histogram is the sum of those it has
+    whole = F.filter("feats", lambda h: F.size(h) == 30)
+    feats = F.aggregate(whole, F.array_repeat(F.lit(0.0), 30), lambda a, h: F.zip_with(a, h, lambda x, y: x + F.coalesce(y, F.lit(0.0))))
     return clusters(
         {
             "boxes": (boxes.where(F.size("color") == 30), "box_id", half_roots(F.col("color"), 15)),
