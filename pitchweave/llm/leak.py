@@ -23,12 +23,13 @@ SEED, SHARD = 8, 1 << 22
 #: Lines of other columns and adverts that may stand between two lines of a passage.
 LINES_BETWEEN = 24
 #: Words of a run within one line that a search over lines starts from, and words that a line without anchors may have.
-WITHIN, FEW = 3, 4
+WITHIN, FEW = 2, 4
 #: Characters that two pieces of an overlong text share.
 OVERLAP = 40_000
 #: Letters that recognisers take for each other, one by one and several for one.
 ALIKE = {"1": "l", "|": "l", "!": "l", "i": "l", "0": "o", "5": "s", "9": "g", "8": "b", "ß": "s", "ſ": "s", "ø": "o", "ł": "l", "æ": "a", "œ": "o"}
 SEVERAL = [("rn", "m"), ("cl", "d"), ("vv", "w"), ("lll", "m"), ("ll", "u"), ("rl", "n"), ("ln", "m"), ("nl", "m"), ("lu", "m"), ("lo", "b")]
+NUMBER = set("losgb23467")  # what digits become
 LETTERS = "abcdefghjklmnopqrstuvwxyz23467?"
 HYPHENS = "-¬\xad‐‑"
 SPACE, BREAK, NEW_LINE, HYPHEN, OTHER = 64, 65, 66, 67, 68
@@ -107,6 +108,7 @@ class FMIndex:
     """
 
     def __init__(self, letters: np.ndarray):
+        letters = np.r_[letters, np.zeros(1, np.uint8)].astype(np.uint8)  # the empty suffix, which sorts first
         n = len(letters)
         padded = np.r_[letters, np.zeros(SEED, np.uint8)].astype(np.int64)
         key = np.zeros(n, np.int64)
@@ -190,12 +192,17 @@ def same_word(a: str, b: str) -> bool:
         if len(_SAME) > 500_000:
             _SAME.clear()
         n = len(b)
-        # one edit leaves the first or the last letter
-        if 1 < n < 7 and a and a[0] != b[0] and a[-1] != b[-1]:
-            known = _SAME[a, b] = _several(a) == _several(b)
-            return known
         most = 0 if n < 2 else 1 if n < 7 else 2 if n < 10 else 3
-        known = len(a) == 1 if n == 1 else len(a) < 2 * n + 2 and (_distance(a, b, most) <= most or _distance(_several(a), _several(b), most - (n > 3)) <= most - (n > 3))
+        if n <= 3 and NUMBER.issuperset(a) and NUMBER.issuperset(b):
+            known = False  # numbers have no letters to spare
+        elif n == 1:
+            known = len(a) == 1
+        elif not n - most - 2 <= len(a) <= n + most + 3 or len(set(b) - set(a)) > most + 1:
+            known = False
+        elif n < 7 and a[0] != b[0] and a[-1] != b[-1]:  # one edit leaves the first or the last letter
+            known = _several(a) == _several(b)
+        else:
+            known = _distance(a, b, most) <= most or _distance(_several(a), _several(b), most - (n > 3)) <= most - (n > 3)
         _SAME[a, b] = known
     return known
 
@@ -298,27 +305,31 @@ def leaks(texts: list[str], evaluation: Evaluation) -> list[tuple[int, int, int,
     anchor, w, i = anchor[same], w[same], i[same]
     starts = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (w[1:] != w[:-1] + 1)]) if len(w) else np.zeros(0, np.int64)
     length = np.diff(np.r_[starts, len(w)])
-    # Unless two thirds of some ``least`` item words in a row are in such runs, their words can't be a run over lines
-    # either: a line adds at most a broken word at each end without an anchor.
+    # Unless half of some ``least`` item words in a row are in such runs, these can't be a run over lines either: a line
+    # of few words adds at most a broken one at its end.
     far = np.int64(1) << 32
     held = np.unique(pair[anchor] * far + i)
     inside = np.searchsorted(held, held + least) - np.arange(len(held))
     most = np.zeros(pair[-1] + 1, np.int64)
     np.maximum.at(most, held // far, inside)
-    good = np.flatnonzero(3 * most >= 2 * least)
-    run_pair = pair[anchor[starts]] if len(starts) else np.zeros(0, np.int64)
+    good = np.flatnonzero(2 * most >= least)
+    # of the runs, those in such a stretch of item words that are long enough or reach a line's start or end
+    at, end, head = w[starts], w[starts] + length, i[starts] if len(starts) else np.zeros(0, np.int64)
+    run_pair, run_line = pair[anchor[starts]], line[anchor[starts]]
+    dense = np.r_[0, np.cumsum(2 * inside >= least)]
+    near = dense[np.searchsorted(held, run_pair * far + head + length)] > dense[np.searchsorted(held, run_pair * far + np.maximum(head - least + 1, 0))]
+    open_ = (at - line_first[run_line] <= 1) | (line_first[run_line + 1] - end <= 1)
+    take = np.flatnonzero(near & (length >= WITHIN) & (open_ | (length >= least)))
+    runs_of = np.stack([length, at, end, shift[anchor[starts]], run_line], axis=1)[take] if len(take) else np.zeros((0, 5), np.int64)
+    run_pair = run_pair[take]
+    good = good[np.isin(good, run_pair)]
     anchor_from, run_from = np.searchsorted(pair, np.arange(pair[-1] + 2)), np.searchsorted(run_pair, np.arange(pair[-1] + 2))
     first_line = words.line[np.minimum(np.searchsorted(words.text, np.arange(len(texts))), len(words.line) - 1)]
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for p in good.tolist():
         a, b = anchor_from[p], anchor_from[p + 1]
         known = set(zip(line[a:b].tolist(), shift[a:b].tolist()))
-        runs = []
-        for r in range(run_from[p], run_from[p + 1]):
-            at, n = int(w[starts[r]]), int(length[r])
-            if n < WITHIN:
-                continue
-            runs.append((n, at, at + n, int(shift[anchor[starts[r]]]), int(line[anchor[starts[r]]])))
+        runs = [tuple(r) for r in runs_of[run_from[p] : run_from[p + 1]].tolist()]
         text = int(words.text[line_first[line[a]]])
         found = reader.longest(evaluation.words[int(item_text[a])], runs, known, text, least)
         if found[0] >= least:
@@ -336,9 +347,9 @@ class _Reader:
     """Compares words of the texts with words of an evaluation text."""
 
     def __init__(self, words: Words, line_first: np.ndarray):
-        self.letters, self.first, self.line, self.text = words.strings(), words.first, words.line, words.text
+        self.letters, self.first, self.line, self.text = words.strings(), words.first.tolist(), words.line.tolist(), words.text
         self.near: dict[tuple[int, int], list[int]] = {}
-        self.broken, self.line_first = words.broken, line_first
+        self.broken, self.line_first = words.broken.tolist(), line_first.tolist()
 
     def word(self, w: int) -> str:
         return self.letters[self.first[w] : self.first[w + 1]]
@@ -346,16 +357,20 @@ class _Reader:
     def longest(self, item: list[str], runs: list[tuple[int, int, int, int, int]], known: set[tuple[int, int]], text: int, least: int) -> tuple[int, int, int]:
         """(words, first line, last line) of the longest run through any run (words, from, to, shift, line) within a line."""
         best, used = (0, 0, 0), set()
+        starts, ends = defaultdict(list), defaultdict(list)  # item words at which a line with an anchor starts, and ends
+        for line, shift in known:
+            starts[self.line_first[line] - shift].append(line)
+            ends[self.line_first[line + 1] - shift].append(line)
         for n, at, end, shift, line in sorted(runs, reverse=True):
             if (line, shift, at) in used:
                 continue
-            lo, hi = int(self.line_first[line]), int(self.line_first[line + 1])
+            lo, hi = self.line_first[line], self.line_first[line + 1]
             if at - lo > 1 and hi - end > 1:
                 best = max(best, (n, -line, line), key=lambda x: x[0])
                 continue
             for loose in (False, True):  # first over lines with anchors
-                start, a, a_open = self._back(item, at, lo, at - shift, text, known, loose)
-                stop, b, b_open = self._on(item, end, hi, end - shift, text, known, used, loose)
+                start, a, a_open = self._back(item, at, lo, at - shift, text, ends, loose)
+                stop, b, b_open = self._on(item, end, hi, end - shift, text, starts, used, loose)
                 best = max(best, (stop - start, -a, b), key=lambda x: x[0])
                 # Then over any line.  A line without anchors has few words; so an end of the run that lies at a line's end
                 # or start goes on only if the run is nearly long enough, or another one starts or ends there a few words away.
@@ -366,20 +381,22 @@ class _Reader:
                     break
         return best[0], -best[1], best[2]
 
-    def _on(self, item: list[str], w: int, line_end: int, i: int, text: int, known: set, used: set, loose: bool) -> tuple[int, int, bool]:
+    def _on(self, item: list[str], w: int, line_end: int, i: int, text: int, starts: dict, used: set, loose: bool) -> tuple[int, int, bool]:
         """Item words before the end of the run that goes on at text word ``w`` and item word ``i``, its last line, and whether it ends at the line's end."""
-        line = int(self.line[w - 1])
+        line = self.line[w - 1]
         while i < len(item):
             part = ""
             if w == line_end - 1 and w > 0:  # the line's last word may be the beginning of a broken one
                 part = self.word(w)
-                if not item[i].startswith(part[: max(1, len(part) - 1)]) and not (self.broken[w] and same_word(part, item[i][: len(part)])):
+                if not self.broken[w] and not item[i].startswith(part[: max(1, len(part) - 1)]):
                     break
             elif w < line_end:
                 break
-            best, near = (0, 0, 0), self._lines(line, 1, text)
-            for nxt in [x for x in near if (x, int(self.line_first[x]) - i) in known] or (near if loose else []):
-                a, b = int(self.line_first[nxt]), int(self.line_first[nxt + 1])
+            best = (0, 0, 0)
+            anchored = starts.get(i)
+            near = self._lines(line, 1, text) if anchored or loose else []
+            for nxt in (sorted(x for x in anchored if near and line < x <= near[-1]) if anchored else None) or (near if loose else []):
+                a, b = self.line_first[nxt], self.line_first[nxt + 1]
                 if not same_word(part + self.word(a), item[i]):
                     continue
                 n = 1
@@ -389,26 +406,27 @@ class _Reader:
             if not best[0]:
                 return i, line, True
             line = -best[1]
-            used.add((line, int(self.line_first[line]) - i, int(self.line_first[line])))
+            used.add((line, self.line_first[line] - i, self.line_first[line]))
             i, w = i + best[0], best[2]
-            line_end = int(self.line_first[line + 1])
+            line_end = self.line_first[line + 1]
         return i, line, False
 
-    def _back(self, item: list[str], w: int, line_start: int, i: int, text: int, known: set, loose: bool) -> tuple[int, int, bool]:
+    def _back(self, item: list[str], w: int, line_start: int, i: int, text: int, ends: dict, loose: bool) -> tuple[int, int, bool]:
         """First item word of the run that reaches back from text word ``w`` and item word ``i``, its first line, and whether it starts at the line's start."""
-        line = int(self.line[w])
+        line = self.line[w]
         while i > 0:
-            part = ""
-            if w == line_start + 1:
+            part, fits = "", True
+            if w == line_start + 1:  # the line's first word may be the end of a broken one
                 part = self.word(line_start)
-                if not item[i - 1].endswith(part[min(1, len(part) - 1) :]):
-                    break
+                fits = item[i - 1].endswith(part[min(1, len(part) - 1) :])
             elif w > line_start:
                 break
-            best, near = (0, 0, 0), self._lines(line, -1, text)
-            for prev in [x for x in near if (x, int(self.line_first[x + 1]) - i) in known] or (near if loose else []):
-                a, b = int(self.line_first[prev]), int(self.line_first[prev + 1])
-                if not same_word(self.word(b - 1) + part, item[i - 1]):
+            best = (0, 0, 0)
+            anchored = ends.get(i)
+            near = self._lines(line, -1, text) if anchored or loose else []
+            for prev in (sorted((x for x in anchored if near and near[-1] <= x < line), reverse=True) if anchored else None) or (near if loose else []):
+                a, b = self.line_first[prev], self.line_first[prev + 1]
+                if not (fits or self.broken[b - 1]) or not same_word(self.word(b - 1) + part, item[i - 1]):
                     continue
                 n = 1
                 while b - 1 - n >= a and i - 1 - n >= 0 and same_word(self.word(b - 1 - n), item[i - 1 - n]):
@@ -417,7 +435,7 @@ class _Reader:
             if not best[0]:
                 return i, line, True
             i, w, line = i - best[0], best[2], best[1]
-            line_start = int(self.line_first[line])
+            line_start = self.line_first[line]
         return i, line, False
 
     def _lines(self, line: int, step: int, text: int) -> list[int]:
