@@ -221,6 +221,58 @@ class Neighbours:
 
         return rows.select("a", "b", *keep, "xa", "xb").mapInArrow(dots, f"{kinds}, sim double")
 
+    def search(self, queries: DataFrame, *, id: str, vector: str, k: int = 3, beam: int = 24, rounds: int = 4) -> DataFrame:
+        """(id, other, sim): the ``k`` nodes most similar to each query vector, by greedy search of the graph.
+
+        A query enters at the first nodes of its cells, and goes on to the neighbours of the ``beam`` best nodes met so
+        far, in either direction, until these no longer change.  A round is one join of the beams with the graph and one with
+        the vectors.
+        """
+        dim, spark = self.dim, queries.sparkSession
+        shared = spark.sparkContext.broadcast(self.quantizer)
+        rows = queries.where((F.size(vector) == dim) & F.exists(vector, lambda x: x != 0)).select(F.col(id).cast("bigint").alias("q"), F.col(vector).cast("array<float>").alias("v"))
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = _matrix(b.column(1), dim)
+                cells = shared.value.cells(_unit(x))
+                k = cells.shape[1]
+                packed = pack(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), k)), pa.array(cells.ravel()), pa.array([p for p in packed for _ in range(k)], pa.binary())], names=["q", "cell", "xa"])
+
+        placed = cut(rows.mapInArrow(place, "q bigint, cell bigint, xa binary"))
+        vectors = placed.select("q", "xa").dropDuplicates(["q"])
+        homes = self.graph.select(F.col("u").alias("b"), F.explode(F.array(F.shiftright("ul", 32), F.col("ul").bitwiseAND(0xFFFFFFFF))).alias("cell")).distinct()
+        entry = homes.withColumn("r", F.row_number().over(W.partitionBy("cell").orderBy(F.xxhash64("b")))).where(F.col("r") <= beam).drop("r")
+        met = cut(self._rank(placed.select("q", "cell").join(entry, "cell").select("q", "b").distinct(), vectors, beam))
+        known = self.graph.where("v <> u")
+        links = known.select(F.col("u").alias("b"), "v").unionByName(known.select(F.col("v").alias("b"), F.col("u").alias("v")))
+        for _ in range(rounds):
+            steps = met.join(links, "b").select("q", F.col("v").alias("b")).distinct()
+            new = self._rank(steps.join(met.select("q", "b"), ["q", "b"], "left_anti"), vectors, beam)
+            rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "b"))
+            both = met.withColumn("old", F.lit(1)).unionByName(new.withColumn("old", F.lit(0))).withColumn("r", rank).where(F.col("r") <= beam).drop("r")
+            both = cut(both)
+            grown = both.where("old = 0").limit(1).count()
+            met = both.drop("old")
+            if not grown:
+                break
+        last = F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "b"))
+        return met.withColumn("r", last).where(F.col("r") <= k).select(F.col("q").alias("id"), F.col("b").alias("other"), "sim")
+
+    def _rank(self, pairs: DataFrame, vectors: DataFrame, beam: int) -> DataFrame:
+        """The ``beam`` most similar of the nodes ``pairs`` (q, b) for each query."""
+        dim = self.dim
+        rows = pairs.join(self.nodes.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b").join(vectors, "q").select("q", "b", "xa", "xb")
+
+        def dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, y = unpack(b.column(2).to_pylist(), dim), unpack(b.column(3).to_pylist(), dim)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.einsum("ij,ij->i", x, y).astype(float))], names=["q", "b", "sim"])
+
+        rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "b"))
+        return rows.mapInArrow(dots, "q bigint, b bigint, sim double").withColumn("r", rank).where(F.col("r") <= beam).drop("r")
+
     def top(self, k: int) -> DataFrame:
         """(id, other, sim, r): the ``k`` most similar other records of every record; at equal similarity the smaller id."""
         first = self.members.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy("id"))).where(F.col("r") <= k + 1).select("node", "id")
