@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Frames of context on either side of a block, window and ranks of the profiles.
 HALO = 40
 WIDTH, RANK, FINE_RANK = 12, 3, 5
+#: Share of the scatter by which a course moves in a round once it has settled.
+SETTLED = 0.01
 
 
 def spike_scores(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -23,7 +25,7 @@ def spike_scores(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
 
     The scatter is that of the residuals against the rank-3 course, widened for the share of noise the course takes
     up.  A second, finer low-rank completion without the suspicious readings follows sharp turns that a rank-3 course
-    rounds off; a reading counts as far from both.
+    rounds off; a reading counts as far from both.  It is made only where some reading stands out.
     """
     seen = np.isfinite(v)
     if seen.sum() < 8:
@@ -35,8 +37,11 @@ def spike_scores(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     residual = np.abs(v - level - course)
     scatter = 1.4826 * np.nanmedian(residual) / np.sqrt(1 - RANK / WIDTH)
     floor = max(scatter, 1e-3 * float(np.nanmedian(np.abs(v[seen] - level))), 1e-9)
-    fine = _project(v - level, seen, course, FINE_RANK, seen & (residual <= 4 * floor))
-    return course + level, np.minimum(residual, np.abs(v - level - fine)) / floor, float(scatter)
+    far = seen & (residual > 4 * floor)
+    if far.any():
+        fine = _project(v - level, seen, course, FINE_RANK, seen & ~far)
+        residual = np.minimum(residual, np.abs(v - level - fine))
+    return course + level, residual / floor, float(scatter)
 
 
 def _project(v: np.ndarray, seen: np.ndarray, course: np.ndarray, rank: int, trusted: np.ndarray | None, rounds: int = 12) -> np.ndarray:
@@ -47,20 +52,24 @@ def _project(v: np.ndarray, seen: np.ndarray, course: np.ndarray, rank: int, tru
     """
     n = len(v)
     width = int(min(WIDTH, max(4, n // 3)))
-    window = np.arange(width)[:, None] + np.arange(n - width + 1)[None, :]
-    times = np.bincount(window.ravel(), minlength=n)
+    columns = n - width + 1
+    times = np.minimum(np.minimum(np.arange(1, n + 1), np.arange(n, 0, -1)), min(width, columns))
     for i in range(rounds):
-        residual = np.where(seen, np.abs(v - course), np.nan)
-        scatter = 1.4826 * np.nanmedian(residual)
+        residual = np.abs(v - course)
+        scatter = 1.4826 * float(np.median(residual[seen]))
         keep = seen & (residual <= max(4.0, 6.0 - i) * max(scatter, 1e-9)) if trusted is None else trusted
-        m = np.where(keep, v, course)[window]
+        m = np.lib.stride_tricks.sliding_window_view(np.where(keep, v, course), width).T
         mean = m.mean(axis=1, keepdims=True)
-        top = np.linalg.eigh((m - mean) @ (m - mean).T)[1][:, -rank:]
-        low = top @ (top.T @ (m - mean)) + mean
-        fresh = np.bincount(window.ravel(), weights=low.ravel(), minlength=n) / times
-        done = np.max(np.abs(fresh - course)) < 1e-3 * max(scatter, 1e-6)
+        m = m - mean
+        top = np.linalg.eigh(m @ m.T)[1][:, -rank:]
+        low = top @ (top.T @ m) + mean
+        fresh = np.zeros(n)
+        for r in range(width):
+            fresh[r : r + columns] += low[r]
+        fresh /= times
+        moved = float(np.sqrt(np.mean((fresh - course) ** 2)))
         course = fresh
-        if done and i > 4:
+        if i > 2 and moved < SETTLED * max(scatter, 1e-6):
             break
     return course
 
@@ -153,16 +162,19 @@ def flag_readings(
 
     def kernel(group: pd.DataFrame) -> pd.DataFrame:
         columns = [f"v{i}" for i in range(n)]
-        group = group.sort_values(["k", *columns]).drop_duplicates("k")
-        k, blk = group["k"].to_numpy(), int(group["blk"].iloc[0])
+        blk = int(group["blk"].iloc[0])
+        readings = [group[c].to_numpy(float) for c in columns]
+        order = np.lexsort([*reversed(readings), group["k"].to_numpy()])
+        k = group["k"].to_numpy()[order]
+        order = order[np.r_[True, k[1:] != k[:-1]]]
+        k, bad = group["k"].to_numpy()[order], group["bad"].to_numpy(bool)[order]
         at = k - k[0]
         size = int(at[-1]) + 1
         spike, stuck, score = np.zeros(size, bool), np.zeros(size, bool), np.zeros(size)
         courses = {}
-        bad = group["bad"].to_numpy(bool)
-        for i, c in enumerate(columns):
+        for i, values in enumerate(readings):
             grid = np.full(size, np.nan)
-            grid[at] = group[c].to_numpy(float)
+            grid[at] = values[order]
             grid[~np.isfinite(grid)] = np.nan
             stuck |= constant_runs(grid, constant)
             usable = grid.copy()
@@ -173,8 +185,9 @@ def flag_readings(
             spike |= short_excursions(deviation, seen, threshold, longest)
             score = np.maximum(score, deviation)
             courses[f"c{i}"] = course[at]
-        out = group[names + ["k"]].assign(spike=spike[at], stuck=stuck[at], impossible=bad, score=score[at], **courses)
-        return out[(k >= blk * block) & (k < (blk + 1) * block)]
+        own = (k >= blk * block) & (k < (blk + 1) * block)
+        flags = {"spike": spike[at], "stuck": stuck[at], "impossible": bad, "score": score[at], **courses}
+        return group[names].iloc[order[own]].assign(k=k[own], **{c: v[own] for c, v in flags.items()})
 
     flagged = rows.groupBy(*names, "blk").applyInPandas(kernel, schema)
     return flagged.select(
