@@ -101,7 +101,7 @@ class Words:
 
 
 class FMIndex:
-    """Backward search over one string of letters 1 .. 31, for patterns of at most ``SEED`` letters.
+    """Backward search over one string of fewer than ``SHARD`` letters 1 .. 31, for patterns of at most ``SEED`` letters.
 
     Suffixes are sorted by ``SEED`` letters only, equal ones by position: the intervals of all patterns up to that
     length are the same as with a full sort, and every position is kept, so none has to be walked to.
@@ -110,6 +110,7 @@ class FMIndex:
     def __init__(self, letters: np.ndarray):
         letters = np.r_[letters, np.zeros(1, np.uint8)].astype(np.uint8)  # the empty suffix, which sorts first
         n = len(letters)
+        assert n <= 1 << 22, "a position has 22 bits"
         padded = np.r_[letters, np.zeros(SEED, np.uint8)].astype(np.int64)
         key = np.zeros(n, np.int64)
         for i in range(SEED):
@@ -500,15 +501,17 @@ def find_leaks(
 
 
 def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of shards that, with a separator for each text, have at most ``SHARD`` characters."""
     ids, pieces, size = [], [], 0
     for batch in batches:
         for d, t in zip(batch["d"], batch["t"]):
-            for lo in range(0, max(1, len(t) - OVERLAP), SHARD - OVERLAP):
-                ids.append(d)
-                pieces.append(t[lo : lo + SHARD])
-                size += len(pieces[-1])
-                if size >= SHARD:
+            for lo in range(0, max(1, len(t) - OVERLAP), SHARD - 1 - OVERLAP):
+                piece = t[lo : lo + SHARD - 1]
+                if size + len(piece) + 1 > SHARD:
                     yield ids, pieces
                     ids, pieces, size = [], [], 0
+                ids.append(d)
+                pieces.append(piece)
+                size += len(piece) + 1
     if pieces:
         yield ids, pieces

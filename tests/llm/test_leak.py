@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from pitchweave.llm.leak import SEED, Evaluation, FMIndex, Words, find_leaks, leaks, same_word
+from pitchweave.llm.leak import SEED, SHARD, Evaluation, FMIndex, Words, _shards, find_leaks, leaks, same_word
 
 WORDS = [a + b + c for a in ("kel", "mor", "tan", "vis", "dru", "pel") for b in ("ba", "nor", "sit", "ul") for c in ("ene", "ic", "ose", "stead", "ing")]
 
@@ -105,3 +106,30 @@ def test_a_table_with_nulls_repeats_and_long_texts(spark):
     assert [(r.doc_id, r.item_id, r.words) for r in out] == [(1, 10, 40)] and out[0].first_line == out[0].last_line == 400
     assert find_leaks(d, e, items_at_once=1).count() == 1
     assert find_leaks(d.limit(0), e).count() == 0 and find_leaks(d, e.limit(0)).count() == 0
+
+
+def test_a_long_text_after_a_nearly_full_shard_loses_nothing():
+    rng, rnd = np.random.default_rng(5), random.Random(5)
+
+    def filler(n):
+        out = rng.integers(97, 123, n).astype(np.uint8)
+        out[7::8], out[79::80] = 32, 10
+        return out.tobytes().decode()
+
+    items = [(i, sentence(rnd, 20)) for i in range(3)]
+    n = SHARD // 4 - 100
+    pages = [filler(n) + "\n" + items[0][1], filler(n), filler(n), filler(n - 1000) + "\n" + items[1][1], filler(2_000_000) + "\n" + items[2][1]]
+    shards = list(_shards(iter([pd.DataFrame({"d": range(5), "t": pages})])))
+    assert [d for ids, _ in shards for d in ids] == list(range(5)) and all(len("\n".join(p)) < SHARD for _, p in shards)
+    found = [(ids[t], i) for ids, p in shards for t, i, *_ in leaks(p, evaluation(items))]
+    assert sorted(found) == [(0, 0), (3, 1), (4, 2)]
+
+
+@pytest.mark.parametrize("size", [SHARD - 2, SHARD - 1, SHARD, SHARD + 1])
+def test_shards_stay_below_their_size(size):
+    shards = list(_shards(iter([pd.DataFrame({"d": [1, 2, 3, 4], "t": ["", "a" * size, "b", ""]})])))
+    assert all(len("\n".join(p)) < SHARD for _, p in shards)
+    assert [d for ids, _ in shards for d in dict.fromkeys(ids)] in ([1, 2, 3, 4], [1, 2, 2, 3, 4])
+    FMIndex(Words.of(["a" * (SHARD - 1)]).letters)
+    with pytest.raises(AssertionError):
+        FMIndex(np.ones(SHARD, np.uint8))
