@@ -81,7 +81,7 @@ def _rolling_median(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def short_excursions(score: np.ndarray, seen: np.ndarray, threshold: float, longest: int) -> np.ndarray:
-    """Readings of runs whose mean score passes ``threshold`` and that are back on course within ``longest`` frames.
+    """Readings whose own score passes ``threshold``, in runs that are back on course within ``longest`` frames.
 
     ``score`` is on the regular grid; missing frames (``seen`` false) neither end nor lengthen a run's membership, but
     count as frames.  A run takes in neighbours above 5/8 of the threshold.  Around a huge spike the course itself is
@@ -104,7 +104,7 @@ def short_excursions(score: np.ndarray, seen: np.ndarray, threshold: float, long
             run = score[at[i:j]]
             bounded = i > 0 and j < len(at)
             if bounded and at[j] - at[i] <= longest and at[j - 1] - at[i] < longest:
-                hit[at[i:j]] = run.mean() > threshold
+                hit[at[i:j]] = run > threshold
             elif j - i > 1 and run.max() > threshold and (cut := max(run.max() / 3, low * 1.01)) > low:
                 if (run > cut).sum() < j - i:
                     todo.append((i, j, cut))

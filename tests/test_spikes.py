@@ -40,6 +40,13 @@ def test_small_deviations_are_no_spikes():
         assert not short_excursions(score, np.isfinite(v), 8.0, 3).any()
 
 
+@pytest.mark.parametrize("run", [[9, 5.5], [5.5, 9], [8.7, 7, 5.3], [7, 12, 6], [12, 7]])
+def test_each_row_of_a_short_excursion_is_judged_by_its_own_score(run):
+    score = np.ones(40)
+    score[20 : 20 + len(run)] = run
+    assert np.flatnonzero(short_excursions(score, np.ones(40, bool), 8.0, 3)).tolist() == [20 + i for i, s in enumerate(run) if s > 8]
+
+
 def test_constant_runs():
     v = np.array([1, 1, 1, 2, 2, np.nan, 2, 2, 2.0])
     assert constant_runs(v, 3).tolist() == [True, True, True, False, False, False, True, True, True]
