@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchweave.functions.kernels import assign, blank_long_gaps, follow, local_polynomial, smooth_positions
+from pitchweave.functions.kernels import Follower, assign, blank_long_gaps, local_polynomial, smooth_positions
 from pitchweave.operators.blocks import in_blocks
 
 
@@ -47,18 +50,40 @@ def smooth_tracks(df: DataFrame, *, keys: list[str], order: str, dt: str, method
 
 
 def motion_tracks(df: DataFrame, *, keys: list[str], frame: str, id: str, block: int = 4096) -> DataFrame:
-    """(keys, id, block, track): points of each block of frames linked by the greedy motion tracker.
+    """(keys, id, block, track): points of each series linked by the greedy motion tracker, and the block of ``block``
+    frames each lies in.
 
-    Tracks are numbered within a block, which bounds a task; ``df`` has x, y.
+    Tracks are numbered within a series and go on from block to block.  What a tracker does hangs on all that came
+    before, so a series is one task; but its points stream through in order, and only the live tracks and a batch are
+    held, however long it is.  ``df`` has x, y.
     """
-    rows = df.select(*keys, F.col(frame).cast("bigint").alias("k_"), F.col(id).alias("id_"), "x", "y").where("k_ is not null and x is not null and y is not null").withColumn("block", F.floor(F.col("k_") / block))
+    rows = df.select(*keys, F.col(frame).cast("bigint").alias("k_"), F.col(id).alias("id_"), "x", "y").where("k_ is not null and x is not null and y is not null")
+    rows = rows.withColumn("block", F.floor(F.col("k_") / block)).withColumn("series_", F.to_json(F.struct(*keys)))
     fields = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
 
-    def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["k_", "id_"])
-        return g[[*keys, "id_", "block"]].assign(track=follow(g["k_"].to_numpy(), g[["x", "y"]].to_numpy(float)))
-
-    done = rows.groupBy(*keys, "block").applyInPandas(kernel, f"{fields}, id_ {rows.schema['id_'].dataType.simpleString()}, block bigint, track bigint")
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        series, tracker, rest = None, Follower(), None
+        for g in chain(batches, [None]):
+            if g is None:
+                g, cut = rest, 0 if rest is None else len(rest)
+            else:
+                g = g if rest is None else pd.concat([rest, g], ignore_index=True)
+                at, k = g["series_"].to_numpy(), g["k_"].to_numpy()
+                # the last frame may go on in the next batch
+                cut = int(np.flatnonzero((at[1:] != at[:-1]) | (k[1:] != k[:-1])).max(initial=-1)) + 1
+                g, rest = g.iloc[:cut], g.iloc[cut:]
+            if not cut:
+                continue
+            at, k, xy, track = g["series_"].to_numpy(), g["k_"].to_numpy(), g[["x", "y"]].to_numpy(float), np.empty(cut, np.int64)
+            edges = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), cut]
+            for lo, hi in zip(edges, edges[1:]):
+                if at[lo] != series:
+                    series, tracker = at[lo], Follower()
+                track[lo:hi] = tracker.feed(k[lo:hi], xy[lo:hi])
+            yield g[[*keys, "id_", "block"]].assign(track=track)
+
+    ordered = rows.repartition("series_").sortWithinPartitions("series_", "k_", "id_")
+    done = ordered.mapInPandas(kernel, f"{fields}, id_ {rows.schema['id_'].dataType.simpleString()}, block bigint, track bigint")
     return done.withColumnRenamed("id_", id)
 
 

@@ -1,10 +1,13 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from pitchweave.functions.kernels import follow
 from pitchweave.operators.blocks import islands, pieces
 from pitchweave.operators.graphs import components
 from pitchweave.operators.joins import asof_versions, band_join, mutual_nearest, overlapping, with_margin
+from pitchweave.operators.smoothing import motion_tracks
 
 
 def test_islands_cross_blocks(spark):
@@ -58,3 +61,38 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([("m", i, i + 1) for i in range(19)] + [("m", 25, 26)], "m string, a int, b int")
     out = {r.n: r.component for r in components(nodes, links, keys=["m"], node="n", a="a", b="b").collect()}
     assert all(out[i] == 0 for i in range(20)) and out[26] == 25 and out[22] == 22
+
+
+def walkers(n, seed):
+    """Three that pass each other, so that an order taken anew after the middle is another one."""
+    rng = np.random.default_rng(seed)
+    k = np.arange(n)
+    rows = [pd.DataFrame({"k": k, "x": 10 * j * (1 - 2 * k / n) + rng.normal(0, 0.05, n), "y": 10 * j + rng.normal(0, 0.05, n)}) for j in range(3)]
+    out = pd.concat(rows, ignore_index=True)
+    return out[rng.random(len(out)) < 0.9].assign(id=lambda d: rng.permutation(len(d)))
+
+
+def test_motion_tracks_go_on_over_block_edges(spark):
+    a, b = walkers(4300, 8), walkers(120, 9)
+    df = spark.createDataFrame(pd.concat([a.assign(g="a"), b.assign(g=None)])).repartition(5)
+    out = motion_tracks(df, keys=["g"], frame="k", id="id").toPandas()
+    for own, got in ((a, out[out.g == "a"]), (b, out[out.g.isna()])):
+        own = own.sort_values(["k", "id"])
+        want = dict(zip(own.id, follow(own.k.to_numpy(), own[["x", "y"]].to_numpy())))
+        assert len(got) == len(own) and dict(zip(got.id, got.track)) == want
+    over = out[out.g == "a"].groupby("track").block.nunique()
+    assert (over == 2).sum() == 3
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_motion_tracks_do_not_hang_on_blocks_or_batches(spark, batch):
+    a = walkers(200, 10)
+    own = a.sort_values(["k", "id"])
+    want = dict(zip(own.id, follow(own.k.to_numpy(), own[["x", "y"]].to_numpy())))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        out = motion_tracks(spark.createDataFrame(a.assign(g=1)), keys=["g"], frame="k", id="id", block=16).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert dict(zip(out.id, out.track)) == want and out.block.nunique() == 13
