@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from pitchweave.operators.blocks import core, in_blocks, islands, pieces, series
 from pitchweave.sources.tables import table
 
 SPRINT_MS, SPRINT_S, SPAN_S, GAP_S = 5.5, 1.0, 0.5, 2.0
-#: No grid is faster; bounds the context of windows that are given in seconds.
+#: Bounds the context of windows that are given in seconds; speeds take the largest fps there is where that is more.
 MAX_FPS = 60
 #: Frames in which a player crosses any hall, so that no step over more of them is too fast.
 FAR_FRAMES = 8 * MAX_FPS
@@ -35,12 +37,19 @@ def steps(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(*PLAYER, "k", F.when(F.col("k") - F.col("pk") == 1, hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).alias("step"))
 
 
+def _fastest(spark: SparkSession, sf: str) -> int:
+    """The largest fps of any match, rounded up, ``MAX_FPS`` at least."""
+    fps = table(spark, sf, "futsal_matches").where(F.col("fps") < float("inf")).agg(F.max("fps")).first()[0]
+    return max(MAX_FPS, ceil(fps or 0))
+
+
 def speeds(spark: SparkSession, sf: str) -> DataFrame:
     """Speed over half a second around a frame: from n div 2 frames before it to n - n div 2 after it, n = rint(fps / 2)."""
-    rows = with_clock(spark, sf, in_blocks(seen(spark, sf), "k", before=MAX_FPS // 4 + 1, after=MAX_FPS // 4 + 1))
+    reach = _fastest(spark, sf) // 4 + 1
+    rows = with_clock(spark, sf, in_blocks(seen(spark, sf), "k", before=reach, after=reach))
     n = F.greatest(F.rint(F.col("fps") * SPAN_S), F.lit(1.0)).cast("int")
     back = F.floor(n / 2)
-    near = series(PLAYER, "k").rangeBetween(-(MAX_FPS // 4 + 1), MAX_FPS // 4 + 1)
+    near = series(PLAYER, "k").rangeBetween(-reach, reach)
     around = F.collect_list(F.struct("k", "x", "y")).over(near)
     rows = rows.withColumns({"n": n, "a": F.filter(around, lambda e: e["k"] == F.col("k") - back), "b": F.filter(around, lambda e: e["k"] == F.col("k") - back + n)})
     a, b = F.get("a", F.lit(0)), F.get("b", F.lit(0))
