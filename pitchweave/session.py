@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; only where that is unset, a folder of our own."""
+    """The folder all executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master gets a temporary folder, which goes when the driver ends; any other master is an error.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pitchweave-")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="pitchweave-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
@@ -24,6 +35,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished rounds of an iterative job have left: Spark drops shuffle files and checkpoints once the
+    driver has collected the frames they belong to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
     """Settings every job of this library is written for."""
     return (
