@@ -1,10 +1,11 @@
-"""The most similar vectors of every vector, by a neighbour graph that NN-descent improves.
-
-1. Equal vectors become one node, named by the smallest id.
-2. A coarse quantizer, fitted on a bounded sample, sends every node to its two nearest cells; within a cell all nodes
-   are compared, which gives each node a first pool of neighbours.
-3. NN-descent: neighbours of neighbours that never shared a cell are joined with their vectors and compared, round by
-   round, until the pools settle.
+"""The most similar vectors of every vector, by a neighbour graph that NN-descent builds.
+
+1. Equal vectors become one node, named by the smallest id, before any vector is exchanged.
+2. A coarse quantizer, fitted on a bounded sample, only says which nodes may meet: every node goes to the blocks of its
+   two nearest cells.  There it starts with links to a few random nodes.
+3. NN-descent: the neighbours of a node's neighbours are compared with it, until a block has settled.  Then every node
+   visits, with its vector and its list, the blocks where its neighbours live, and joins theirs there, round by round,
+   until hardly any list changes.
 """
 
 from __future__ import annotations
@@ -12,18 +13,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pitchweave.session import cut
+from pitchweave.session import cut, release
 
-#: Vectors the quantizer is fitted on, nodes aimed at and allowed in a cell, cells, cells of a node, neighbours kept of a node.
-SAMPLE, AIM, MOST, CELLS, ASSIGNED, POOL = 12_288, 100, 4096, 2048, 2, 6
-#: Reverse neighbours a node shows others in NN-descent, and the share of changed pool entries at which it has settled.
-REVERSE, SETTLED, ROUNDS = 6, 0.01, 3
+#: Vectors the quantizer is fitted on, nodes aimed at in a cell, cells, and nodes of a cell from which it is split.
+SAMPLE, AIM, CELLS, MOST = 12_288, 100, 2048, 256
+#: Nodes that are compared at once, neighbours kept of a node, rounds at most, share of new list entries at which the graph has settled.
+CHUNK, POOL, ROUNDS, SETTLED = 512, 10, 12, 0.01
 
 
 def pack(x: np.ndarray) -> list[bytes]:
@@ -34,6 +34,11 @@ def pack(x: np.ndarray) -> list[bytes]:
         for e in range(4, 21):
             if not len(todo):
                 return out
+            scaled = x[todo[:1]] * np.float32(2.0**e)  # a cheap look at one row before all are scaled
+            if e < 20 and len(todo) > 64 and (scaled != np.rint(scaled)).any():
+                some = x[todo[:: max(1, len(todo) // 16)]] * np.float32(2.0**e)
+                if ((some != np.rint(some)).any(axis=1)).all():
+                    continue
             scaled = x[todo] * np.float32(2.0**e)
             whole = (scaled == np.rint(scaled)).all(axis=1) & (np.abs(scaled).max(axis=1, initial=0) <= most)
             for i, row in zip(todo[whole].tolist(), scaled[whole].astype(kind)):
@@ -46,6 +51,8 @@ def pack(x: np.ndarray) -> list[bytes]:
 
 def unpack(rows: list[bytes], dim: int) -> np.ndarray:
     """The rows of ``pack`` as unit vectors."""
+    if rows and all(len(r) == dim + 1 for r in rows):
+        return _unit(np.frombuffer(b"".join(rows), np.int8).reshape(len(rows), dim + 1)[:, 1:].astype(np.float32))
     x = np.empty((len(rows), dim), np.float32)
     for i, r in enumerate(rows):
         x[i] = np.frombuffer(r, np.int8 if len(r) == dim + 1 else np.int16 if len(r) == 2 * dim + 1 else np.float32, offset=1)
@@ -62,65 +69,260 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 class Quantizer:
-    """Spherical k-means around the sample's mean; crowded cells are split by the signs of random projections."""
+    """Spherical k-means around the sample's mean; where a cell is crowded, planes through its centre split it.
+
+    The planes differ from cell to cell, and again between the two ways (``way`` 0 and 1) a crowded cell is split, so
+    that nodes parted by one way meet in the other.  How crowded a cell is, is estimated from the sample: a wrong estimate
+    costs time, as blocks are cut into chunks of a bounded size anyway, but drops nothing.
+    """
 
-    def __init__(self, sample: np.ndarray, cells: int, rounds: int = 4):
-        self.mean = sample.mean(axis=0) if len(sample) else np.zeros(sample.shape[1], np.float32)
+    def __init__(self, sample: np.ndarray, cells: int, nodes: int, rounds: int = 4):
+        dim = sample.shape[1]
+        self.mean = sample.mean(axis=0) if len(sample) else np.zeros(dim, np.float32)
         y = self._centred(sample)
-        self.centres = y[:cells].copy() if len(y) else np.zeros((1, sample.shape[1]), np.float32)
+        self.centres = y[:cells].copy() if len(y) else np.zeros((1, dim), np.float32)
+        at = np.zeros(0, np.int64)
         for _ in range(rounds if len(y) > cells else 0):
-            at = np.concatenate([(y[lo : lo + 4096] @ self.centres.T).argmax(axis=1) for lo in range(0, len(y), 4096)])
+            at = self._nearest(y)
             total = np.zeros_like(self.centres)
             np.add.at(total, at, y)
             held = np.bincount(at, minlength=len(total)) > 0
             self.centres[held] = _unit(total[held])
-        self.planes = np.random.default_rng(7).standard_normal((sample.shape[1], 16)).astype(np.float32)
-        self.bits = np.zeros(len(self.centres), np.int64)
+        rng = np.random.default_rng(7)
+        self.planes = rng.standard_normal((dim, 16)).astype(np.float32)
+        self.signs = rng.choice(np.array([-1, 1], np.int8), (2, len(self.centres), dim))
+        size = np.bincount(at if len(at) else self._nearest(y), minlength=len(self.centres)) * (nodes / max(len(y), 1))
+        self.bits = np.clip(np.ceil(np.log2(np.maximum(size, 1) / MOST)), 0, 16).astype(np.int64)
 
     def _centred(self, x: np.ndarray) -> np.ndarray:
         return _unit(x - self.mean + np.float32(1e-12))
 
+    def _nearest(self, y: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *[(y[lo : lo + 4096] @ self.centres.T).argmax(axis=1) for lo in range(0, len(y), 4096)]])
+
+    def _block(self, y: np.ndarray, cell: np.ndarray, way: int) -> np.ndarray:
+        side = np.zeros(len(y), np.int64)
+        split = np.flatnonzero(self.bits[cell] > 0)
+        for lo in range(0, len(split), 4096):
+            at = split[lo : lo + 4096]
+            off = (y[at] - self.centres[cell[at]]) * self.signs[way][cell[at]]
+            side[at] = ((off @ self.planes) > 0) @ (1 << np.arange(16)) & (1 << self.bits[cell[at]]) - 1
+        return cell << 17 | way << 16 | side
+
     def cells(self, x: np.ndarray) -> np.ndarray:
-        """The nearest cells of each unit vector, with the sign bits that their size calls for."""
-        n = min(ASSIGNED, len(self.centres))
-        y = self._centred(x)
+        """The nearest cells of each unit vector, the nearest one first."""
+        y, n = self._centred(x), min(2, len(self.centres))
         out = np.empty((len(x), n), np.int64)
         for lo in range(0, len(x), 4096):
-            out[lo : lo + 4096] = np.argpartition(-(y[lo : lo + 4096] @ self.centres.T), n - 1, axis=1)[:, :n]
-        signs = ((y @ self.planes) > 0) @ (1 << np.arange(16))
-        return out << 16 | (signs[:, None] & (1 << self.bits[out]) - 1)
-
-
-def _cell_pairs(ids: np.ndarray, own: np.ndarray, rows: list[bytes], dim: int, pool: int) -> pd.DataFrame:
-    """Pool of each node of a cell among the cell's other nodes."""
-    order = np.argsort(ids, kind="stable")
-    seen: dict[bytes, int] = {}
-    keep = [i for i in order.tolist() if seen.setdefault(rows[i], i) == i]  # a vector comes once of each batch
-    ids, own, x = ids[keep], own[keep], unpack([rows[i] for i in keep], dim)
-    k = min(pool, len(ids) - 1)
-    u, v, s = [], [], []
-    for lo in range(0, len(ids) if k > 0 else 0, 1024):
-        sims = x[lo : lo + 1024] @ x.T
-        sims[np.arange(len(sims)), lo + np.arange(len(sims))] = -2
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        u.append(np.repeat(np.arange(lo, lo + len(sims)), k))
-        v.append(near.ravel())
-        s.append(np.take_along_axis(sims, near, axis=1).ravel())
-    if not u:
-        return pd.DataFrame({"u": ids, "v": ids, "sim": np.full(len(ids), -2.0), "ul": own, "vl": own})
-    u, v, s = np.concatenate(u), np.concatenate(v), np.concatenate(s)
-    return pd.DataFrame({"u": ids[u], "v": ids[v], "sim": s.astype(float), "ul": own[u], "vl": own[v]})
-
-
-def _best(edges: DataFrame, pool: int) -> DataFrame:
-    """The ``pool`` most similar distinct neighbours of each node; one exchange."""
-    edges = edges.repartition("u").dropDuplicates(["u", "v"])
-    rank = F.row_number().over(W.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    return edges.withColumn("r", rank).where(F.col("r") <= pool)
+            s = y[lo : lo + 4096] @ self.centres.T
+            near = np.argpartition(-s, n - 1, axis=1)[:, :n]
+            out[lo : lo + 4096] = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, axis=1), axis=1, kind="stable"), axis=1)
+        return out
+
+    def blocks(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, block) of every block a vector goes to; the first block of each row is its home."""
+        y, cells = self._centred(x), self.cells(x)
+        rows, blocks = [np.arange(len(x))], [self._block(y, cells[:, 0], 0)]
+        if cells.shape[1] > 1:
+            rows.append(rows[0])
+            blocks.append(self._block(y, cells[:, 1], 0))
+        crowded = np.flatnonzero(self.bits[cells[:, 0]] > 0)
+        rows.append(crowded)
+        blocks.append(self._block(y[crowded], cells[crowded, 0], 1))
+        return np.concatenate(rows), np.concatenate(blocks)
+
+
+def descend(x: np.ndarray, links: np.ndarray, pool: int) -> tuple[np.ndarray, np.ndarray]:
+    """(neighbours, similarities to six decimals) of each row of ``x`` after NN-descent from the links (boolean matrix).
+
+    Rows are in the order of their ids, which settles ties.  In a round each row is compared with the neighbours of its
+    neighbours in both directions, and keeps the ``pool`` best; rounds go on until no list changes.  -1 and -2 stand for none.
+    """
+    m = len(x)
+    k = min(pool, m - 1)
+    if k < 1:
+        return np.full((m, 1), -1), np.full((m, 1), -2.0)
+    at = np.arange(m)
+    key = (np.rint(np.clip(x @ x.T, -1, 1).astype(np.float64) * 1e6).astype(np.int64) + 2_000_000) * 4096 + (4095 - at)
+    links, best = links.copy(), None
+    while True:
+        both = (links | links.T).astype(np.float32)
+        met = (both @ both > 0) | (both > 0)
+        met[at, at] = False
+        seen = np.where(met, key, -1)
+        near = np.argpartition(seen, m - k, axis=1)[:, m - k :]
+        held = np.take_along_axis(seen, near, axis=1)
+        now = np.sort(held, axis=1)
+        if best is not None and (now == best).all():
+            break
+        best = now
+        links = np.zeros((m, m), bool)
+        np.put_along_axis(links, near, held >= 0, axis=1)
+    return np.where(held >= 0, near, -1), np.where(held >= 0, (held >> 12) / 1e6 - 2, -2.0)
+
+
+GRAPH = "u bigint, home bigint, v array<bigint>, vh array<bigint>, s array<float>"
+
+
+def _lists(u: np.ndarray, home: np.ndarray, row: np.ndarray, v: np.ndarray, vh: np.ndarray, s: np.ndarray) -> list[pa.Array]:
+    """The columns of ``GRAPH`` for nodes ``u``; ``row`` (ascending) says whose list an entry belongs to."""
+    ends = pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=len(u)))].astype(np.int32))
+    each = [pa.ListArray.from_arrays(ends, pa.array(c)) for c in (v.astype(np.int64), vh.astype(np.int64), s.astype(np.float32))]
+    return [pa.array(u.astype(np.int64)), pa.array(home.astype(np.int64)), *each]
+
+
+def _start(batches: Iterator[pa.RecordBatch], dim: int, pool: int) -> Iterator[pa.RecordBatch]:
+    """First lists of the members (blk, guest, node, x; sorted by blk) of each block, and the homes of its own nodes.
+
+    A block is cut into chunks of a bounded size; the chunk is a node's home.  Homes are only known once a chunk is full, so
+    entries name the home of each neighbour that lives here, and -1 for guests.
+    """
+
+    def chunk(home: int, guest: np.ndarray, node: np.ndarray, x: list[bytes]) -> pa.RecordBatch:
+        order = np.argsort(node, kind="stable")
+        guest, node = guest[order], node[order]
+        m, rng = len(node), np.random.default_rng(home)
+        links = np.zeros((m, m), bool)
+        if m > 1:
+            links[np.arange(m)[:, None], rng.integers(0, m, (m, pool))] = True
+            links[np.arange(m), np.arange(1, m + 1) % m] = True  # no node is alone
+        near, sim = descend(unpack([x[i] for i in order.tolist()], dim), links, pool)
+        row, col = np.nonzero(near >= 0)
+        to, here = near[row, col], np.where(guest, -1, home)
+        return pa.RecordBatch.from_arrays(_lists(node, here, row, node[to], here[to], sim[row, col]), names=["u", "home", "v", "vh", "s"])
+
+    blk, number, held = None, 0, ([], [], [])
+
+    def flush(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal number, held
+        while len(held[1]) > (0 if last else 2 * CHUNK):
+            n = len(held[1])
+            n = min(n, CHUNK) if not last else -(-n // -(-n // CHUNK))
+            yield chunk(blk << 20 | number, np.array(held[0][:n]), np.array(held[1][:n]), held[2][:n])
+            held, number = tuple(h[n:] for h in held), number + 1
+
+    for b in batches:
+        at = b.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
+        for lo, hi in zip(edges, edges[1:]):
+            if lo == hi:
+                continue
+            if at[lo] != blk:
+                yield from flush(True)
+                blk, number, held = int(at[lo]), 0, ([], [], [])
+            for h, c in zip(held, (1, 2, 3)):
+                h.extend(b.column(c).slice(lo, hi - lo).to_pylist())
+            yield from flush(False)
+    yield from flush(True)
+
+
+def _visit(batches: Iterator[pa.RecordBatch], dim: int, pool: int) -> Iterator[pa.RecordBatch]:
+    """New list entries from the rows (blk, visitor, u, home, v, vh, s, changed, x; sorted by blk and visitor) of each block.
+
+    The nodes that live in a block are at most a chunk; visitors come a chunk at a time, however many a popular node has.
+    """
+
+    def join(rows: pa.Table) -> pa.RecordBatch | None:
+        if not np.any(rows["visitor"].to_numpy()) or not np.any(rows["changed"].to_numpy()):
+            return None
+        rows = rows.take(np.argsort(rows["u"].to_numpy(), kind="stable"))
+        u, home = rows["u"].to_numpy(), rows["home"].to_numpy()
+        lists = rows["v"].combine_chunks()
+        count = np.diff(lists.offsets.to_numpy())
+        v, s = lists.flatten().to_numpy(), rows["s"].combine_chunks().flatten().to_numpy()
+        row = np.repeat(np.arange(len(u)), count)
+        worst = np.full(len(u), -3.0)
+        full = count >= pool
+        least = np.full(len(u), np.inf)
+        np.minimum.at(least, row, s)
+        worst[full] = least[full]
+        to = np.minimum(np.searchsorted(u, v), len(u) - 1)
+        here = u[to] == v
+        links = np.zeros((len(u), len(u)), bool)
+        links[row[here], to[here]] = True
+        near, sim = descend(unpack(rows["x"].to_pylist(), dim), links, pool)
+        r, c = np.nonzero(near >= 0)
+        to, sim = near[r, c], sim[r, c]
+        fresh = ~links[r, to] & (sim >= worst[r] - 1e-6)
+        r, to, sim = r[fresh], to[fresh], sim[fresh]
+        if not len(r):
+            return None
+        some, r = np.unique(r, return_inverse=True)
+        return pa.RecordBatch.from_arrays(_lists(u[some], home[some], r, u[to], home[to], sim), names=["u", "home", "v", "vh", "s"])
+
+    blk, own, guests = None, [], []
+
+    def flush(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal guests
+        if not guests:
+            return
+        waiting = pa.Table.from_batches(guests)
+        while waiting.num_rows > (0 if last else CHUNK):
+            out = join(pa.concat_tables([*([pa.Table.from_batches(own)] if own else []), waiting.slice(0, CHUNK)]))
+            waiting = waiting.slice(CHUNK)
+            if out is not None:
+                yield out
+        guests = waiting.to_batches()
+
+    for b in batches:
+        at, visitor = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        edges = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (visitor[1:] != visitor[:-1])) + 1).tolist(), len(at)]
+        for lo, hi in zip(edges, edges[1:]):
+            if lo == hi:
+                continue
+            if at[lo] != blk:
+                yield from flush(True)
+                blk, own, guests = at[lo], [], []
+            (guests if visitor[lo] else own).append(b.slice(lo, hi - lo))
+            if len(guests) and sum(g.num_rows for g in guests) > 2 * CHUNK:
+                yield from flush(False)
+    yield from flush(True)
+
+
+def _merge(batches: Iterator[pa.RecordBatch], pool: int) -> Iterator[pa.RecordBatch]:
+    """One list of the ``pool`` best for each node, and how many of its entries are new, of the rows (u, home, v, vh, s, old) sorted by u."""
+
+    def whole(rows: pa.Table) -> pa.RecordBatch:
+        u, home = rows["u"].to_numpy(), rows["home"].to_numpy()
+        count = np.diff(rows["v"].combine_chunks().offsets.to_numpy())
+        v, vh, s = (rows[c].combine_chunks().flatten().to_numpy() for c in ("v", "vh", "s"))
+        owner = np.repeat(u, count)
+        old = np.repeat(rows["old"].to_numpy(), count)
+        order = np.lexsort((-vh, ~old, v, owner))  # of a pair the old entry, and one that knows the neighbour's home
+        owner, v, vh, s, old = owner[order], v[order], vh[order], s[order], old[order]
+        first = np.r_[True, (owner[1:] != owner[:-1]) | (v[1:] != v[:-1])] if len(v) else np.zeros(0, bool)
+        group = np.cumsum(first) - 1
+        known = np.full(int(first.sum()), -1, np.int64)
+        np.maximum.at(known, group, vh)
+        owner, v, vh, s, old = owner[first], v[first], known, s[first], old[first]
+        order = np.lexsort((v, -np.round(s.astype(float), 6), owner))
+        owner, v, vh, s, old = owner[order], v[order], vh[order], s[order], old[order]
+        start = np.searchsorted(owner, owner)
+        keep = np.arange(len(owner)) - start < pool
+        owner, v, vh, s, old = owner[keep], v[keep], vh[keep], s[keep], old[keep]
+        nodes, at = np.unique(u, return_inverse=True)
+        homes = np.full(len(nodes), -1, np.int64)
+        np.maximum.at(homes, at, home)
+        row = np.searchsorted(nodes, owner)
+        fresh = np.bincount(row[~old], minlength=len(nodes)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([*_lists(nodes, homes, row, v, vh, s), pa.array(fresh)], names=["u", "home", "v", "vh", "s", "fresh"])
+
+    rest = None
+    for b in batches:
+        rows = pa.Table.from_batches([b])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        u = rows["u"].to_numpy()
+        end = int(np.searchsorted(u, u[-1])) if len(u) else 0  # the last node may go on in the next batch
+        rest = rows.slice(end)
+        if end:
+            yield whole(rows.slice(0, end))
+    if rest is not None and rest.num_rows:
+        yield whole(rest)
 
 
 class Neighbours:
-    """The neighbour graph of one table: ``members`` (id, node), ``nodes`` (node, packed), ``graph`` (u, v, sim, r)."""
+    """The neighbour graph of one table: ``members`` (id, node), ``nodes`` (node, x packed), ``graph`` (u, home, v, vh, s):
+    for each node its block and the lists of its neighbours, their blocks and similarities, the most similar first."""
 
     def __init__(self, df: DataFrame, *, id: str, vector: str, dim: int, pool: int = POOL, rounds: int = ROUNDS):
         spark, self.dim, self.pool = df.sparkSession, dim, pool
@@ -129,108 +331,83 @@ class Neighbours:
         rows = df.where(F.col(id).isNotNull() & v.isNotNull()).where(usable)
         rows = rows.select(F.col(id).cast("bigint").alias("id"), F.xxhash64(v).alias("g1"), F.xxhash64(F.lit(1), v).alias("g2"), v.cast("array<float>").alias("v"))
         copies = cut(rows.groupBy("id").agg(F.min(F.struct("g1", "g2")).alias("g")).select("id", "g.g1", "g.g2"))
-        count = copies.groupBy("g1", "g2").agg(F.min("id").alias("node"))
-        self.members = copies.join(count, ["g1", "g2"]).select("id", "node")
-        n = count.count()
+        names = copies.groupBy("g1", "g2").agg(F.min("id").alias("node"))
+        self.members = copies.join(names, ["g1", "g2"]).select("id", "node")
+
+        def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:  # a vector leaves a batch once, so that a hot one is not exchanged row by row
+                g = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1)
+                _, at = np.unique(g, axis=0, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g[at, 0]), pa.array(g[at, 1]), pa.array(pack(_matrix(b.column(2), dim)[at]), pa.binary())], names=["g1", "g2", "x"])
+
+        vectors = rows.select("g1", "g2", "v").mapInArrow(packs, "g1 bigint, g2 bigint, x binary").dropDuplicates(["g1", "g2"])
+        self.nodes = cut(vectors.join(names, ["g1", "g2"]).select("node", "x"))
+        n = self.nodes.count()
         below = F.lit(min(2**63 - 1, -(2**63) + int(2**64 * SAMPLE / max(n, 1))))
-        sample = rows.where(F.col("g1") <= below).dropDuplicates(["g1", "g2"]).orderBy("g1").select("v").toArrow()["v"].combine_chunks()
-        self.quantizer = Quantizer(_unit(_matrix(sample, dim)), max(1, min(CELLS, n // AIM)))
+        sample = self.nodes.where(F.xxhash64("node") <= below).orderBy(F.xxhash64("node")).select("x").toArrow()["x"].to_pylist()
+        self.quantizer = Quantizer(unpack(sample, dim), max(1, min(CELLS, n // AIM)), n)
         shared = spark.sparkContext.broadcast(self.quantizer)
 
-        def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                cells = shared.value.cells(_unit(_matrix(b.column(0), dim))).ravel() >> 16
-                cell, size = np.unique(cells, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(size)], names=["cell", "n"])
-
-        crowded = rows.select("v").mapInArrow(sizes, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > MOST).collect()  # at most CELLS rows
-        for cell, size in crowded:
-            self.quantizer.bits[cell] = min(16, int(np.ceil(np.log2(size / MOST))))
-        placed = spark.sparkContext.broadcast(self.quantizer)
-
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                x = _matrix(b.column(1), dim)
-                ids = b.column(0).to_numpy()
-                order = np.argsort(ids, kind="stable")
-                ids, packed = ids[order], pack(x[order])
-                first: dict[bytes, int] = {}
-                keep = [i for i, p in enumerate(packed) if first.setdefault(p, i) == i]
-                cells = placed.value.cells(unpack([packed[i] for i in keep], dim))
-                own = cells[:, 0] << 32 | cells[:, -1]
-                k = cells.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids[keep], k)), pa.array(cells.ravel()), pa.array(np.repeat(own, k)), pa.array([packed[i] for i in keep for _ in range(k)], pa.binary())],
-                    names=["id", "cell", "own", "x"],
-                )
-
-        def compare(group: pd.DataFrame) -> pd.DataFrame:
-            return _cell_pairs(group["id"].to_numpy(), group["own"].to_numpy(), group["x"].tolist(), dim, pool)
-
-        edges = rows.select("id", "v").mapInArrow(place, "id bigint, cell bigint, own bigint, x binary").groupBy("cell").applyInPandas(compare, "u bigint, v bigint, sim double, ul bigint, vl bigint")
-        self.graph = cut(_best(edges, pool))
-
-        def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pack(_matrix(b.column(1), dim)), pa.binary())], names=["id", "x"])
-
-        self.nodes = rows.select("id", "v").mapInArrow(packs, "id bigint, x binary").dropDuplicates(["id"])
-        self.changed: list[float] = []
+                row, block = shared.value.blocks(unpack(b.column(1).to_pylist(), dim))
+                guest = np.arange(len(row)) >= b.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(guest), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))], names=["blk", "guest", "node", "x"])
+
+        placed = self.nodes.mapInArrow(place, "blk bigint, guest boolean, node bigint, x binary").repartition("blk").sortWithinPartitions("blk", F.xxhash64("node"))
+        lists = placed.mapInArrow(lambda b: _start(b, dim, pool), GRAPH)
+        # what a list says of guests' homes is filled in from the rows of their own
+        merged = cut(self._merged(lists.withColumn("old", F.lit(False))))
+        self.graph, self.changed = self._with_homes(merged), []
         for _ in range(rounds):
             if not self._descend() or self.changed[-1] <= SETTLED:
                 break
+        release(spark)
 
-    def _descend(self) -> bool:
-        """One round of NN-descent; false where there is nothing to compare."""
-        known = self.graph.where("v <> u")
-        back = known.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim", F.col("vl").alias("ul"), F.col("ul").alias("vl"))
-        back = back.withColumn("r", F.row_number().over(W.partitionBy("u").orderBy(F.desc("sim"), "v"))).where(F.col("r") <= REVERSE)
-        both = known.unionByName(back).repartition("u").dropDuplicates(["u", "v"])
-        a = both.select(F.col("u").alias("p"), F.col("v").alias("a"), F.col("vl").alias("al"), F.col("sim").alias("as"))
-        b = both.select(F.col("u").alias("p"), F.col("v").alias("b"), F.col("vl").alias("bl"), F.col("sim").alias("bs"))
-        cell = [F.shiftright("al", 32), F.col("al").bitwiseAND(0xFFFFFFFF), F.shiftright("bl", 32), F.col("bl").bitwiseAND(0xFFFFFFFF)]
-        met = (cell[0] == cell[2]) | (cell[0] == cell[3]) | (cell[1] == cell[2]) | (cell[1] == cell[3])
-        pairs = a.join(b, "p").where((F.col("a") < F.col("b")) & ~met).groupBy("a", "b").agg(F.first("al").alias("al"), F.first("bl").alias("bl"))
-        direct = known.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-        pairs = pairs.join(direct, ["a", "b"], "left_anti")
-        new = self.similarities(pairs, ["al", "bl"]).select("a", "b", "sim", "al", "bl")
-        edges = new.select(F.col("a").alias("u"), F.col("b").alias("v"), "sim", F.col("al").alias("ul"), F.col("bl").alias("vl")).unionByName(
-            new.select(F.col("b").alias("u"), F.col("a").alias("v"), "sim", F.col("bl").alias("ul"), F.col("al").alias("vl"))
-        )
-        before = self.graph.withColumn("old", F.lit(1))
-        graph = cut(_best(before.drop("r").unionByName(edges.withColumn("old", F.lit(0))), self.pool))
-        total, fresh = graph.agg(F.count("*"), F.sum(1 - F.col("old"))).first()
-        self.graph = graph.drop("old")
-        self.changed.append((fresh or 0) / max(total, 1))
-        return bool(fresh)
+    def _merged(self, lists: DataFrame) -> DataFrame:
+        pool = self.pool
+        return lists.repartition("u").sortWithinPartitions("u").mapInArrow(lambda b: _merge(b, pool), f"{GRAPH}, fresh int")
 
-    def similarities(self, pairs: DataFrame, keep: list[str]) -> DataFrame:
-        """``pairs`` (a, b, and ``keep``) with the cosine of each."""
-        dim = self.dim
-        x = self.nodes.repartition("id")
-        rows = pairs.join(x.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").join(x.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
-        kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ["a", "b", *keep])
+    def _with_homes(self, merged: DataFrame) -> DataFrame:
+        """``merged`` with the home of every neighbour: one join of the entries that lack it."""
+        homes = merged.select(F.col("u").alias("v"), F.col("home").alias("known"))
+        entries = merged.select("u", "home", "fresh", F.explode_outer(F.arrays_zip("v", "vh", "s")).alias("e")).select("u", "home", "fresh", F.col("e.v").alias("v"), F.col("e.s").alias("s"))
+        entries = entries.join(homes, "v", "left").select("u", "home", "fresh", F.when(F.col("v").isNotNull(), F.struct((-F.col("s")).alias("n"), "v", F.col("known").alias("vh"))).alias("e"))
+        lists = entries.groupBy("u").agg(F.first("home").alias("home"), F.first("fresh").alias("fresh"), F.array_sort(F.collect_list("e")).alias("e"))
+        out = lists.select("u", "home", F.col("e.v").alias("v"), F.col("e.vh").alias("vh"), F.transform("e", lambda x: (-x["n"]).cast("float")).alias("s"), "fresh")
+        return cut(out)
 
-        def dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 4096):
-                    part = batch.slice(lo, 4096)
-                    a, b = (unpack(part.column(part.schema.get_field_index(c)).to_pylist(), dim) for c in ("xa", "xb"))
-                    kept = [part.column(part.schema.get_field_index(c)) for c in ("a", "b", *keep)]
-                    yield pa.RecordBatch.from_arrays([*kept, pa.array(np.einsum("ij,ij->i", a, b).astype(float))], names=["a", "b", *keep, "sim"])
+    def _descend(self) -> bool:
+        """One round of NN-descent over all blocks; false where no list changed."""
+        dim, pool = self.dim, self.pool
+        to = F.explode(F.array_distinct(F.concat(F.array("home"), "vh"))).alias("blk")
+        rows = self.graph.join(self.nodes.withColumnRenamed("node", "u"), "u").select(to, "u", "home", "v", "vh", "s", (F.col("fresh") > 0).alias("changed"), "x")
+        rows = rows.select("blk", (F.col("blk") != F.col("home")).alias("visitor"), "u", "home", "v", "vh", "s", "changed", "x")
+        rows = rows.repartition("blk").sortWithinPartitions("blk", "visitor")
+        new = rows.mapInArrow(lambda b: _visit(b, dim, pool), GRAPH).withColumn("old", F.lit(False))
+        graph = cut(self._merged(self.graph.drop("fresh").withColumn("old", F.lit(True)).unionByName(new)))
+        total, fresh = graph.agg(F.sum(F.size("v")), F.sum("fresh")).first()
+        self.graph = graph
+        self.changed.append((fresh or 0) / max(total or 0, 1))
+        release(graph.sparkSession)
+        return bool(fresh)
 
-        return rows.select("a", "b", *keep, "xa", "xb").mapInArrow(dots, f"{kinds}, sim double")
+    def edges(self) -> DataFrame:
+        """(u, v, sim): the graph with one row for each neighbour of a node."""
+        return self.graph.select("u", F.explode(F.arrays_zip("v", "s")).alias("e")).select("u", F.col("e.v").alias("v"), F.col("e.s").cast("double").alias("sim"))
 
-    def search(self, queries: DataFrame, *, id: str, vector: str, k: int = 3, beam: int = 24, rounds: int = 4) -> DataFrame:
+    def search(self, queries: DataFrame, *, id: str, vector: str, k: int = 3, beam: int = 24, rounds: int = 8) -> DataFrame:
         """(id, other, sim): the ``k`` nodes most similar to each query vector, by greedy search of the graph.
 
-        A query enters at the first nodes of its cells, and goes on to the neighbours of the ``beam`` best nodes met so
+        A query enters at some nodes of its two cells, and goes on to the neighbours of the ``beam`` best nodes met so
         far, in either direction, until these no longer change.  A round is one join of the beams with the graph and one with
-        the vectors.
+        the vectors.  Queries with NULL ids, and those whose vector takes no part (see ``most_similar``), find nothing.
         """
         dim, spark = self.dim, queries.sparkSession
         shared = spark.sparkContext.broadcast(self.quantizer)
-        rows = queries.where((F.size(vector) == dim) & F.exists(vector, lambda x: x != 0)).select(F.col(id).cast("bigint").alias("q"), F.col(vector).cast("array<float>").alias("v"))
+        v = F.col(vector)
+        rows = queries.where(F.col(id).isNotNull() & (F.size(v) == dim) & F.exists(v, lambda x: x != 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+        rows = rows.select(F.col(id).cast("bigint").alias("q"), v.cast("array<float>").alias("v")).groupBy("q").agg(F.min("v").alias("v"))
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -242,10 +419,10 @@ class Neighbours:
 
         placed = cut(rows.mapInArrow(place, "q bigint, cell bigint, xa binary"))
         vectors = placed.select("q", "xa").dropDuplicates(["q"])
-        homes = self.graph.select(F.col("u").alias("b"), F.explode(F.array(F.shiftright("ul", 32), F.col("ul").bitwiseAND(0xFFFFFFFF))).alias("cell")).distinct()
+        homes = self.graph.select(F.col("u").alias("b"), F.shiftright("home", 37).alias("cell"))
         entry = homes.withColumn("r", F.row_number().over(W.partitionBy("cell").orderBy(F.xxhash64("b")))).where(F.col("r") <= beam).drop("r")
         met = cut(self._rank(placed.select("q", "cell").join(entry, "cell").select("q", "b").distinct(), vectors, beam))
-        known = self.graph.where("v <> u")
+        known = self.edges()
         links = known.select(F.col("u").alias("b"), "v").unionByName(known.select(F.col("v").alias("b"), F.col("u").alias("v")))
         for _ in range(rounds):
             steps = met.join(links, "b").select("q", F.col("v").alias("b")).distinct()
@@ -263,7 +440,7 @@ class Neighbours:
     def _rank(self, pairs: DataFrame, vectors: DataFrame, beam: int) -> DataFrame:
         """The ``beam`` most similar of the nodes ``pairs`` (q, b) for each query."""
         dim = self.dim
-        rows = pairs.join(self.nodes.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b").join(vectors, "q").select("q", "b", "xa", "xb")
+        rows = pairs.join(self.nodes.select(F.col("node").alias("b"), F.col("x").alias("xb")), "b").join(vectors, "q").select("q", "b", "xa", "xb")
 
         def dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -271,13 +448,16 @@ class Neighbours:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.einsum("ij,ij->i", x, y).astype(float))], names=["q", "b", "sim"])
 
         rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "b"))
-        return rows.mapInArrow(dots, "q bigint, b bigint, sim double").withColumn("r", rank).where(F.col("r") <= beam).drop("r")
+        return rows.mapInArrow(dots, "q bigint, b bigint, sim double").withColumn("sim", F.round("sim", 6)).withColumn("r", rank).where(F.col("r") <= beam).drop("r")
 
     def top(self, k: int) -> DataFrame:
         """(id, other, sim, r): the ``k`` most similar other records of every record; at equal similarity the smaller id."""
         first = self.members.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy("id"))).where(F.col("r") <= k + 1).select("node", "id")
         own = first.select(F.col("node").alias("u"), F.col("id").alias("other"), F.lit(1.0).alias("sim"))
-        near = self.graph.where("v <> u").select("u", F.col("v").alias("node"), F.least(F.round("sim", 6), F.lit(1.0)).alias("sim")).join(first, "node").select("u", F.col("id").alias("other"), "sim")
+        # no more than k + 1 neighbours can hold the first k records
+        near = self.graph.select("u", F.explode(F.slice(F.arrays_zip("v", "s"), 1, k + 1)).alias("e"))
+        near = near.select("u", F.col("e.v").alias("node"), F.least(F.round(F.col("e.s").cast("double"), 6), F.lit(1.0)).alias("sim"))
+        near = near.join(first, "node").select("u", F.col("id").alias("other"), "sim")
         rank = F.row_number().over(W.partitionBy("u").orderBy(F.desc("sim"), "other"))
         lists = own.unionByName(near).withColumn("r", rank).where(F.col("r") <= k + 1).groupBy("u").agg(F.array_sort(F.collect_list(F.struct("r", "other", "sim"))).alias("list"))
         rows = self.members.join(lists.withColumnRenamed("u", "node"), "node")
@@ -294,6 +474,7 @@ def most_similar(df: DataFrame, *, id: str, vector: str, dim: int, k: int = 3, p
     records still all get their ``k``.  Tables of fewer than two records give fewer rows or none.  Other columns are not
     read.
 
-    Approximate: each record is compared with the nodes of its two cells and with neighbours of neighbours.
+    Approximate: each record is compared with random others of its two cells, and then with neighbours of neighbours
+    until hardly any list changes.
     """
     return Neighbours(df, id=id, vector=vector, dim=dim, pool=max(pool, k + 1), rounds=rounds).top(k)

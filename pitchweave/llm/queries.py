@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitchweave.llm.bpe import encode_corpus
-from pitchweave.llm.knn import most_similar
+from pitchweave.llm.knn import Neighbours, most_similar
 from pitchweave.llm.leak import find_leaks
 from pitchweave.llm.mcl import clusters, half_roots
 from pitchweave.llm.mojibake import repair_encoding
@@ -32,6 +32,13 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p5_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The three boxes most like each detection whose id is divisible by 100, by greedy search of the boxes' graph."""
+    graph = Neighbours(table(spark, sf, "boxes"), id="box_id", vector="reid", dim=512)
+    found = graph.search(table(spark, sf, "detections").where(F.col("box_id") % 100 == 0), id="box_id", vector="reid", k=3)
+    return found.select(F.col("id").alias("detection_id"), F.col("other").alias("box_id"), "sim")
+
+
 def kit_clusters(spark: SparkSession, sf: str) -> DataFrame:
     boxes, tracklets = table(spark, sf, "boxes"), table(spark, sf, "tracklets")
     # a tracklet's histogram is the sum of those it has
@@ -78,4 +85,4 @@ def p9_repaired(spark: SparkSession, sf: str) -> DataFrame:
     return repair_encoding(table(spark, sf, "documents")).where("garbled").select("doc_id", "repaired", "whole")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found, "p9_repaired": p9_repaired}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_search": p5_search, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found, "p9_repaired": p9_repaired}

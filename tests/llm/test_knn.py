@@ -52,12 +52,79 @@ def test_descent_repairs_a_poor_start(spark, monkeypatch):
     assert recall(3) > recall(0) and recall(3) >= 0.9
 
 
-def test_crowded_cells_are_split():
+def test_crowded_cells_are_split_in_two_ways():
     rng = np.random.default_rng(4)
-    q = knn.Quantizer(rng.normal(size=(200, 8)).astype(np.float32), 4)
+    q = knn.Quantizer(rng.normal(size=(200, 8)).astype(np.float32), 4, 200)
     q.bits[:] = 3
-    cells = q.cells(knn._unit(rng.normal(size=(500, 8)).astype(np.float32)))
-    assert cells.shape == (500, 2) and (cells & 0xFFFF).max() == 7 and len(np.unique(cells)) > 16
+    row, block = q.blocks(knn._unit(rng.normal(size=(500, 8)).astype(np.float32)))
+    assert np.bincount(row).tolist() == [3] * 500 and (block & 0xFFFF).max() == 7
+    home, other = block[:500], block[1000:]
+    assert (home >> 17 == other >> 17).all() and set(home >> 16 & 1) == {0} and set(other >> 16 & 1) == {1}
+    assert len(set(zip(home, other))) > 1.5 * len(set(home))  # nodes parted by one way meet in the other
+
+
+@pytest.mark.parametrize("size, spread", [(20, 0.5), (600, 1.0)])
+@pytest.mark.parametrize("cells, most, chunk", [(4, 750, 512), (4, 47, 512), (1, 94, 128)])
+def test_recall_where_cells_are_split(spark, monkeypatch, size, spread, cells, most, chunk):
+    """Cells split 2- to 4-fold and 32- to 64-fold, and blocks cut into chunks; tight and loose groups."""
+    rng = np.random.default_rng(0)
+    n, dim = 6000, 64
+    centres = rng.normal(size=(n // size + 1, dim))
+    x = (centres[np.arange(n) // size] + spread * rng.normal(size=(n, dim))).astype(np.float32)
+    for name, value in (("CELLS", cells), ("MOST", most), ("CHUNK", chunk)):
+        monkeypatch.setattr(knn, name, value)
+    graph = knn.Neighbours(table(spark, [(i, v.tolist(), "", 1) for i, v in enumerate(x)]), id="id", vector="v", dim=dim)
+    assert graph.quantizer.bits.max() >= (1 if most == 750 else 5)
+    out = graph.top(3).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.argpartition(-(u @ u.T) + 3 * np.eye(n, dtype=np.float32), 3, axis=1)[:, :3]
+    want = {(i, int(j)) for i in range(n) for j in near[i]}
+    assert len(want & set(zip(out.id, out.other))) >= 0.93 * len(want)
+
+
+def test_pairs_come_through_the_descent(spark):
+    """Of the final pairs at most a few are links that the start drew at random."""
+    x = clustered(2000, 32, seed=8)
+    drawn = []
+    plain = knn.descend
+
+    def watched(x, links, pool):
+        near, sim = plain(x, links, pool)
+        drawn.append((np.take_along_axis(links, np.maximum(near, 0), axis=1) & (near >= 0)).sum() / max((near >= 0).sum(), 1))
+        return near, sim
+
+    rows = [(7, bool(i % 2), i, p) for i, p in enumerate(knn.pack(x[:400]))]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["blk", "guest", "node", "x"])
+    knn.descend = watched
+    try:
+        list(knn._start(iter([batch]), 32, 10))
+    finally:
+        knn.descend = plain
+    assert max(drawn) < 0.25
+
+
+def test_a_hot_vector_is_one_node(spark):
+    """A third of the rows hold one vector: it is exchanged once a batch, and lies in one block only once."""
+    x = clustered(900, 16, seed=9)
+    rows = [(i, v.tolist(), "", 1) for i, v in enumerate(x)] + [(1000 + i, x[5].tolist(), "", 1) for i in range(450)]
+    graph = knn.Neighbours(table(spark, rows), id="id", vector="v", dim=16)
+    assert graph.nodes.count() == 900 and graph.members.count() == 1350
+    out = graph.top(3).where("id >= 1000").toPandas()
+    assert len(out) == 1350 and set(out.other) <= {5, 1000, 1001, 1002}
+
+
+def test_popular_nodes_have_visitors_a_chunk_at_a_time(spark, monkeypatch):
+    """Everything is near one node, so its block has every node as a visitor."""
+    rng = np.random.default_rng(11)
+    hub = np.zeros(24)
+    hub[0] = 1
+    x = np.r_[[hub], hub * 0.4 + rng.normal(size=(1500, 24)) / 5].astype(np.float32)
+    monkeypatch.setattr(knn, "CHUNK", 64)
+    out = knn.most_similar(table(spark, [(i, v.tolist(), "", 1) for i, v in enumerate(x)]), id="id", vector="v", dim=24, k=3).toPandas()
+    want = brute(x, np.arange(1501), 3)
+    assert len(want & set(zip(out.id, out.other))) >= 0.9 * len(want)
 
 
 def test_copies_zeros_nulls_and_odd_rows(spark):
