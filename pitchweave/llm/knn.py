@@ -325,8 +325,21 @@ class Neighbours:
     for each node its block and the lists of its neighbours, their blocks and similarities, the most similar first."""
 
     def __init__(self, df: DataFrame, *, id: str, vector: str, dim: int, pool: int = POOL, rounds: int = ROUNDS):
-        spark, self.dim, self.pool = df.sparkSession, dim, pool
-        v = F.col(vector)
+        self.dim, self.pool, self.changed = dim, pool, []
+        spark = df.sparkSession
+        self._take(df, id, vector)
+        release(spark)
+        self._begin()
+        release(spark)
+        for _ in range(rounds):
+            grown = self._descend()
+            release(spark)
+            if not grown or self.changed[-1] <= SETTLED:
+                break
+
+    def _take(self, df: DataFrame, id: str, vector: str) -> None:
+        """The members and the nodes of ``df``."""
+        dim, v = self.dim, F.col(vector)
         usable = (F.size(v) == dim) & F.exists(v, lambda x: x != 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         rows = df.where(F.col(id).isNotNull() & v.isNotNull()).where(usable)
         rows = rows.select(F.col(id).cast("bigint").alias("id"), F.xxhash64(v).alias("g1"), F.xxhash64(F.lit(1), v).alias("g2"), v.cast("array<float>").alias("v"))
@@ -342,6 +355,10 @@ class Neighbours:
 
         vectors = rows.select("g1", "g2", "v").mapInArrow(packs, "g1 bigint, g2 bigint, x binary").dropDuplicates(["g1", "g2"])
         self.nodes = cut(vectors.join(names, ["g1", "g2"]).select("node", "x"))
+
+    def _begin(self) -> None:
+        """The quantizer, and the graph as it is within blocks."""
+        spark, dim, pool = self.nodes.sparkSession, self.dim, self.pool
         n = self.nodes.count()
         below = F.lit(min(2**63 - 1, -(2**63) + int(2**64 * SAMPLE / max(n, 1))))
         sample = self.nodes.where(F.xxhash64("node") <= below).orderBy(F.xxhash64("node")).select("x").toArrow()["x"].to_pylist()
@@ -358,11 +375,7 @@ class Neighbours:
         lists = placed.mapInArrow(lambda b: _start(b, dim, pool), GRAPH)
         # what a list says of guests' homes is filled in from the rows of their own
         merged = cut(self._merged(lists.withColumn("old", F.lit(False))))
-        self.graph, self.changed = self._with_homes(merged), []
-        for _ in range(rounds):
-            if not self._descend() or self.changed[-1] <= SETTLED:
-                break
-        release(spark)
+        self.graph = self._with_homes(merged)
 
     def _merged(self, lists: DataFrame) -> DataFrame:
         pool = self.pool
@@ -389,7 +402,6 @@ class Neighbours:
         total, fresh = graph.agg(F.sum(F.size("v")), F.sum("fresh")).first()
         self.graph = graph
         self.changed.append((fresh or 0) / max(total or 0, 1))
-        release(graph.sparkSession)
         return bool(fresh)
 
     def edges(self) -> DataFrame:
