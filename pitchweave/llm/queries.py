@@ -10,7 +10,7 @@ from pitchweave.llm.bpe import encode_corpus
 from pitchweave.llm.knn import Neighbours, most_similar
 from pitchweave.llm.leak import find_leaks
 from pitchweave.llm.mcl import clusters, half_roots
-from pitchweave.llm.mojibake import repair_encoding
+from pitchweave.llm.mojibake import find_garbled, repair_encoding
 from pitchweave.llm.nearest_time import nearest_in_time
 from pitchweave.llm.sql import SQL  # noqa: F401
 from pitchweave.sources.tables import table
@@ -78,7 +78,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    return repair_encoding(table(spark, sf, "documents")).where("garbled").select("doc_id")
+    return find_garbled(table(spark, sf, "documents"))
 
 
 def p9_repaired(spark: SparkSession, sf: str) -> DataFrame:
