@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +24,12 @@ SEED, SHARD = 8, 1 << 22
 LINES_BETWEEN = 24
 #: Words of a run within one line that a search over lines starts from, and words that a line without anchors may have.
 WITHIN, FEW = 2, 4
+#: Letters of a word from which two and three of them may be misread.
+TWO, THREE = 10, 13
+#: Parts of the items that are held at once.
+PARTS = 16
 #: Characters that two pieces of an overlong text share.
-OVERLAP = 40_000
+OVERLAP = 1 << 18
 #: Letters that recognisers take for each other, one by one and several for one.
 ALIKE = {"1": "l", "|": "l", "!": "l", "i": "l", "0": "o", "5": "s", "9": "g", "8": "b", "ß": "s", "ſ": "s", "ø": "o", "ł": "l", "æ": "a", "œ": "o"}
 SEVERAL = [("rn", "m"), ("cl", "d"), ("vv", "w"), ("lll", "m"), ("ll", "u"), ("rl", "n"), ("ln", "m"), ("nl", "m"), ("lu", "m"), ("lo", "b")]
@@ -71,6 +75,7 @@ class Words:
     line: np.ndarray  # line of each word, numbered over all texts
     text: np.ndarray  # text of each word
     broken: np.ndarray  # whether a hyphen at the line's end follows the word
+    top: np.ndarray  # first line of each text
 
     @staticmethod
     def of(texts: list[str]) -> Words:
@@ -89,12 +94,13 @@ class Words:
         new = np.r_[True, raw[1:] != raw[:-1]] if len(at) else np.zeros(0, bool)
         first = np.flatnonzero(new)
         start = at[first]
-        lines = np.cumsum(kind == NEW_LINE, dtype=np.int64)[start]
+        number = np.cumsum(kind == NEW_LINE, dtype=np.int64)
+        lines, top = number[start], np.r_[0, number[ends]]
         last = at[np.r_[first[1:], len(at)] - 1] if len(first) else start
         # what follows the last letter: hyphen, perhaps one space, then the line's end
         padded = np.r_[kind, np.full(3, NEW_LINE, np.uint8)]
         broken = (padded[last + 1] == HYPHEN) & ((padded[last + 2] == NEW_LINE) | ((padded[last + 2] == SPACE) & (padded[last + 3] == NEW_LINE)))
-        return Words(kind[at], (np.cumsum(new) - 1).astype(np.int32), np.r_[first, len(at)].astype(np.int64), lines, np.cumsum(text_of)[start].astype(np.int32), broken)
+        return Words(kind[at], (np.cumsum(new) - 1).astype(np.int32), np.r_[first, len(at)].astype(np.int64), lines, np.cumsum(text_of)[start].astype(np.int32), broken, top)
 
     def strings(self) -> str:
         return np.frombuffer(b"?" + LETTERS.encode(), np.uint8)[self.letters].tobytes().decode()
@@ -185,22 +191,27 @@ def _several(word: str) -> str:
 _SAME: dict[tuple[str, str], bool] = {}
 
 
-def same_word(a: str, b: str) -> bool:
-    """Whether ``a`` can be a misread ``b``: one edit in two to six letters, two up to nine, then three."""
+def same_word(a: str, b: str, words: Set[str] = frozenset()) -> bool:
+    """Whether ``a`` can be a misread ``b``: one edit in two letters and more, two from ``TWO`` letters on, three from ``THREE``.
+
+    A word that is one of ``words`` is that word and no other one misread.
+    """
     if a == b:
         return True
+    if a in words:
+        return False
     if (known := _SAME.get((a, b))) is None:
         if len(_SAME) > 500_000:
             _SAME.clear()
         n = len(b)
-        most = 0 if n < 2 else 1 if n < 7 else 2 if n < 10 else 3
+        most = 0 if n < 2 else 1 if n < TWO else 2 if n < THREE else 3
         if n <= 3 and NUMBER.issuperset(a) and NUMBER.issuperset(b):
             known = False  # numbers have no letters to spare
         elif n == 1:
             known = len(a) == 1
         elif not n - most - 2 <= len(a) <= n + most + 3 or len(set(b) - set(a)) > most + 1:
             known = False
-        elif n < 7 and a[0] != b[0] and a[-1] != b[-1]:  # one edit leaves the first or the last letter
+        elif n < TWO and a[0] != b[0] and a[-1] != b[-1]:  # one edit leaves the first or the last letter
             known = _several(a) == _several(b)
         else:
             known = _distance(a, b, most) <= most or _distance(_several(a), _several(b), most - (n > 3)) <= most - (n > 3)
@@ -219,7 +230,8 @@ class Evaluation:
         self.words = [[letters[words.first[w] : words.first[w + 1]] for w in range(bounds[t], bounds[t + 1])] for t in range(len(texts))]
         self.item_first = bounds.astype(np.int64)
         flat = [x for t in self.words for x in t]
-        self.distinct = sorted(set(flat))
+        self.vocabulary = frozenset(flat)
+        self.distinct = sorted(self.vocabulary)
         number = {x: j for j, x in enumerate(self.distinct)}
         self.word_number = np.array([number[x] for x in flat], np.int64)
         self.bags = _bags(self.distinct)
@@ -246,7 +258,7 @@ class Evaluation:
         a, b = pairs // n, pairs % n
         # an edit changes the counts of at most two letters by one
         size = np.array([len(x) for x in self.distinct], np.int64)[b]
-        most = np.where(size == 1, 1, np.where(size < 7, 1, np.where(size < 10, 2, 3)))
+        most = np.where(size < TWO, 1, np.where(size < THREE, 2, 3))
         bags = _bags(texts)
         near = np.zeros(len(pairs), bool)
         for lo in range(0, len(pairs), 1 << 16):
@@ -255,7 +267,7 @@ class Evaluation:
                 near[part] |= np.abs(x[a[part]] - y[b[part]]).sum(axis=1) <= 2 * most[part]
         out = np.zeros(len(pairs), bool)
         for k in np.flatnonzero(near).tolist():
-            out[k] = same_word(texts[a[k]], self.distinct[b[k]])
+            out[k] = same_word(texts[a[k]], self.distinct[b[k]], self.vocabulary)
         return out[back]
 
 
@@ -273,10 +285,16 @@ def _bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def leaks(texts: list[str], evaluation: Evaluation) -> list[tuple[int, int, int, int, int]]:
     """(text, item, words, first line, last line): the longest run of words of each item in each text, if long enough."""
-    words, least = Words.of(texts), evaluation.least
-    if len(words.letters) < SEED or not len(evaluation.patterns):
+    words = Words.of(texts)
+    return leaks_of(words, FMIndex(words.letters), evaluation) if len(words.letters) >= SEED else []
+
+
+def leaks_of(words: Words, index: FMIndex, evaluation: Evaluation) -> list[tuple[int, int, int, int, int]]:
+    """``leaks`` of texts that are indexed already."""
+    least = evaluation.least
+    if not len(evaluation.patterns):
         return []
-    pattern, position = FMIndex(words.letters).search(evaluation.patterns)
+    pattern, position = index.search(evaluation.patterns)
     # an anchor (evaluation text, line, text word - item word) of each occurrence; the line tells the text
     count = evaluation.from_[pattern + 1] - evaluation.from_[pattern]
     rows = np.repeat(np.arange(len(pattern)), count)
@@ -301,7 +319,7 @@ def leaks(texts: list[str], evaluation: Evaluation) -> list[tuple[int, int, int,
     anchor = np.repeat(np.arange(len(line)), size)
     w = lo[anchor] + np.arange(len(anchor)) - np.repeat(np.cumsum(size) - size, size)
     i = w - shift[anchor]
-    reader = _Reader(words, line_first)
+    reader = _Reader(words, line_first, evaluation.vocabulary)
     same = evaluation.same(reader, w, evaluation.item_first[item_text[anchor]] + i)
     anchor, w, i = anchor[same], w[same], i[same]
     starts = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (w[1:] != w[:-1] + 1)]) if len(w) else np.zeros(0, np.int64)
@@ -325,7 +343,6 @@ def leaks(texts: list[str], evaluation: Evaluation) -> list[tuple[int, int, int,
     run_pair = run_pair[take]
     good = good[np.isin(good, run_pair)]
     anchor_from, run_from = np.searchsorted(pair, np.arange(pair[-1] + 2)), np.searchsorted(run_pair, np.arange(pair[-1] + 2))
-    first_line = words.line[np.minimum(np.searchsorted(words.text, np.arange(len(texts))), len(words.line) - 1)]
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for p in good.tolist():
         a, b = anchor_from[p], anchor_from[p + 1]
@@ -336,7 +353,7 @@ def leaks(texts: list[str], evaluation: Evaluation) -> list[tuple[int, int, int,
         if found[0] >= least:
             key = (text, evaluation.item[int(item_text[a])])
             best[key] = max(best.get(key, (0, 0, 0)), found)
-    return [(t, i, n, a - int(first_line[t]), b - int(first_line[t])) for (t, i), (n, a, b) in best.items()]
+    return [(t, i, n, a - int(words.top[t]), b - int(words.top[t])) for (t, i), (n, a, b) in best.items()]
 
 
 def _number(group: np.ndarray) -> np.ndarray:
@@ -347,7 +364,8 @@ def _number(group: np.ndarray) -> np.ndarray:
 class _Reader:
     """Compares words of the texts with words of an evaluation text."""
 
-    def __init__(self, words: Words, line_first: np.ndarray):
+    def __init__(self, words: Words, line_first: np.ndarray, vocabulary: Set[str]):
+        self.vocabulary = vocabulary
         self.letters, self.first, self.line, self.text = words.strings(), words.first.tolist(), words.line.tolist(), words.text
         self.near: dict[tuple[int, int], list[int]] = {}
         self.broken, self.line_first = words.broken.tolist(), line_first.tolist()
@@ -398,10 +416,10 @@ class _Reader:
             near = self._lines(line, 1, text) if anchored or loose else []
             for nxt in (sorted(x for x in anchored if near and line < x <= near[-1]) if anchored else None) or (near if loose else []):
                 a, b = self.line_first[nxt], self.line_first[nxt + 1]
-                if not same_word(part + self.word(a), item[i]):
+                if not same_word(part + self.word(a), item[i], self.vocabulary):
                     continue
                 n = 1
-                while a + n < b and i + n < len(item) and same_word(self.word(a + n), item[i + n]):
+                while a + n < b and i + n < len(item) and same_word(self.word(a + n), item[i + n], self.vocabulary):
                     n += 1
                 best = max(best, (n, -nxt, a + n), key=lambda x: (x[0], x[1]))
             if not best[0]:
@@ -427,10 +445,10 @@ class _Reader:
             near = self._lines(line, -1, text) if anchored or loose else []
             for prev in (sorted((x for x in anchored if near and near[-1] <= x < line), reverse=True) if anchored else None) or (near if loose else []):
                 a, b = self.line_first[prev], self.line_first[prev + 1]
-                if not (fits or self.broken[b - 1]) or not same_word(self.word(b - 1) + part, item[i - 1]):
+                if not (fits or self.broken[b - 1]) or not same_word(self.word(b - 1) + part, item[i - 1], self.vocabulary):
                     continue
                 n = 1
-                while b - 1 - n >= a and i - 1 - n >= 0 and same_word(self.word(b - 1 - n), item[i - 1 - n]):
+                while b - 1 - n >= a and i - 1 - n >= 0 and same_word(self.word(b - 1 - n), item[i - 1 - n], self.vocabulary):
                     n += 1
                 best = max(best, (n, prev, b - n), key=lambda x: (x[0], x[1]))
             if not best[0]:
@@ -467,32 +485,43 @@ def find_leaks(
 ) -> DataFrame:
     """(``id``, ``item_id``, words, first_line, last_line): documents with at least ``least`` words in a row of an item.
 
-    ``words`` is the longest run, in the lines ``first_line`` to ``last_line`` (from the first line with a word) of the document; these are
-    the span to remove.  Case, punctuation, accents, misread letters, line and hyphen breaks and up to 24 lines of other
+    ``words`` is the longest run, in the lines ``first_line`` to ``last_line`` of the document (numbered from 0, as
+    they are split at line feeds); these are the span to remove.  Case, punctuation, accents, misread letters, line and hyphen breaks and up to 24 lines of other
     text between two lines of the passage don't matter; a run ends at a word that is missing, added, exchanged or moved.
     Item texts of fewer words find nothing.  NULL, empty and blank texts contain nothing; NULL item texts are none; items
     with the same id count together; a repeated document gives one row for an id and item, with its longest run.
 
-    Every shard (about 4 million characters of one partition; longer texts in overlapping pieces) gets its own index,
-    and all items are searched in it: a narrow job, then one exchange of the finds.  Items are collected and broadcast
-    ``items_at_once`` at a time, which bounds a broadcast; the corpus is read once for each such part.
+    Every shard (about 4 million characters of one partition; longer texts in overlapping pieces) gets its own index once,
+    and all items are searched in it, ``items_at_once`` at a time: a narrow job, then one exchange of the finds.  Items are
+    collected and broadcast in parts of ``items_at_once``, which bounds a broadcast, and at most ``PARTS`` of these in one
+    reading of the corpus, which bounds what an executor holds.
     """
     parts = max(1, -(-items.count() // items_at_once))
     columns = items.select(F.col(item_id).alias("i"), *[F.col(c).alias(f"t{j}") for j, c in enumerate(item_texts)])
     rows = documents.where(F.col(text).isNotNull()).select(F.col(id).alias("d"), F.col(text).cast("string").alias("t"))
     kinds = f"d {rows.schema[0].dataType.simpleString()}, i {columns.schema[0].dataType.simpleString()}, words int, first_line int, last_line int"
     found = None
-    for p in range(parts):
-        here = columns.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == p).collect()
-        texts = sorted({(r[0], t) for r in here for t in r[1:] if t})
-        shared = documents.sparkSession.sparkContext.broadcast(texts)
+    for first in range(0, parts, PARTS):
+        shared = []
+        for p in range(first, min(first + PARTS, parts)):
+            here = columns.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == p).collect()
+            shared.append(documents.sparkSession.sparkContext.broadcast(sorted({(r[0], t) for r in here for t in r[1:] if t})))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            evaluation = Evaluation(shared.value, least)
-            for ids, pieces in _shards(batches):
-                out = [(ids[t], *rest) for t, *rest in leaks(pieces, evaluation)]
-                if out:
-                    yield pd.DataFrame(out, columns=["d", "i", "words", "first_line", "last_line"])
+            built: dict[int, Evaluation] = {}
+            for ids, tops, pieces in _shards(batches):
+                words = Words.of(pieces)
+                if len(words.letters) < SEED:
+                    continue
+                index = FMIndex(words.letters)
+                for p, texts in enumerate(shared):
+                    if p not in built:
+                        if len(built) > 3:
+                            built.clear()
+                        built[p] = Evaluation(texts.value, least)
+                    out = [(ids[t], i, n, a + tops[t], b + tops[t]) for t, i, n, a, b in leaks_of(words, index, built[p])]
+                    if out:
+                        yield pd.DataFrame(out, columns=["d", "i", "words", "first_line", "last_line"])
 
         part = rows.mapInPandas(run, kinds)
         found = part if found is None else found.unionByName(part)
@@ -500,18 +529,21 @@ def find_leaks(
     return best.select(F.col("d").alias(id), F.col("i").alias(item_id), "b.words", "b.first_line", "b.last_line")
 
 
-def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts of shards that, with a separator for each text, have at most ``SHARD`` characters."""
-    ids, pieces, size = [], [], 0
+def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[int], list[str]]]:
+    """Ids, first lines and texts of shards that, with a separator for each text, have at most ``SHARD`` characters."""
+    ids, tops, pieces, size = [], [], [], 0
     for batch in batches:
         for d, t in zip(batch["d"], batch["t"]):
+            top, before = 0, 0
             for lo in range(0, max(1, len(t) - OVERLAP), SHARD - 1 - OVERLAP):
                 piece = t[lo : lo + SHARD - 1]
+                top, before = top + t.count("\n", before, lo), lo
                 if size + len(piece) + 1 > SHARD:
-                    yield ids, pieces
-                    ids, pieces, size = [], [], 0
+                    yield ids, tops, pieces
+                    ids, tops, pieces, size = [], [], [], 0
                 ids.append(d)
+                tops.append(top)
                 pieces.append(piece)
                 size += len(piece) + 1
     if pieces:
-        yield ids, pieces
+        yield ids, tops, pieces

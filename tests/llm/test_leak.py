@@ -120,16 +120,60 @@ def test_a_long_text_after_a_nearly_full_shard_loses_nothing():
     n = SHARD // 4 - 100
     pages = [filler(n) + "\n" + items[0][1], filler(n), filler(n), filler(n - 1000) + "\n" + items[1][1], filler(2_000_000) + "\n" + items[2][1]]
     shards = list(_shards(iter([pd.DataFrame({"d": range(5), "t": pages})])))
-    assert [d for ids, _ in shards for d in ids] == list(range(5)) and all(len("\n".join(p)) < SHARD for _, p in shards)
-    found = [(ids[t], i) for ids, p in shards for t, i, *_ in leaks(p, evaluation(items))]
+    assert [d for ids, *_ in shards for d in ids] == list(range(5)) and all(len("\n".join(p)) < SHARD for *_, p in shards)
+    found = [(ids[t], i) for ids, _, p in shards for t, i, *_ in leaks(p, evaluation(items))]
     assert sorted(found) == [(0, 0), (3, 1), (4, 2)]
 
 
 @pytest.mark.parametrize("size", [SHARD - 2, SHARD - 1, SHARD, SHARD + 1])
 def test_shards_stay_below_their_size(size):
     shards = list(_shards(iter([pd.DataFrame({"d": [1, 2, 3, 4], "t": ["", "a" * size, "b", ""]})])))
-    assert all(len("\n".join(p)) < SHARD for _, p in shards)
-    assert [d for ids, _ in shards for d in dict.fromkeys(ids)] in ([1, 2, 3, 4], [1, 2, 2, 3, 4])
+    assert all(len("\n".join(p)) < SHARD for *_, p in shards)
+    assert [d for ids, *_ in shards for d in dict.fromkeys(ids)] in ([1, 2, 3, 4], [1, 2, 2, 3, 4])
     FMIndex(Words.of(["a" * (SHARD - 1)]).letters)
     with pytest.raises(AssertionError):
         FMIndex(np.ones(SHARD, np.uint8))
+
+
+def test_long_texts_of_one_partition_and_lines_far_down(spark):
+    rng, rnd = np.random.default_rng(6), random.Random(6)
+
+    def filler(n, width=70):
+        out = rng.integers(97, 123, n).astype(np.uint8)
+        out[7::8], out[width - 1 :: width] = 32, 10
+        return out.tobytes().decode()
+
+    passage = sentence(rnd, 20)
+    body = filler(7_000_000)
+    split = body.split("\n")
+    deep = "\n".join(["", *split[:99_999], passage, *split[99_999:]])
+    docs = [(1, filler(2_800_000) + passage), (2, passage + "\n" + filler(3_500_000)), (3, deep)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    e = spark.createDataFrame([(10, passage, "")], "item_id long, passage string, question string")
+    out = {r.doc_id: r for r in find_leaks(d, e).collect()}
+    assert set(out) == {1, 2, 3} and out[2].first_line == 0
+    assert deep.split("\n")[out[3].first_line : out[3].last_line + 1] == [passage] and out[3].first_line == 100_000
+
+
+def test_short_words_of_the_items_are_themselves():
+    words = frozenset(["on", "ln", "he", "hls", "has", "the", "corbalte", "clabalte"])
+    assert not same_word("corbalte", "clabalte", words) and not same_word("lorulene", "brllmene")
+    assert not same_word("on", "ln", words) and not same_word("has", "hls", words) and same_word("tbe", "the", words) and same_word("lm", "ln", words)
+    rnd = random.Random(12)
+    passage = sentence(rnd, 5) + " in " + sentence(rnd, 8) + " on " + sentence(rnd, 6)
+    assert leaks([passage.replace(" in ", " on ", 1).replace(sentence(rnd, 1), "")], evaluation([(1, passage)])) != []
+    words = passage.split()
+    other = words[:5] + ["on"] + words[6:13]  # eleven words at most in a row
+    assert leaks([" ".join(other)], evaluation([(1, passage)])) == []
+
+
+def test_parts_of_the_items_share_an_index(spark, monkeypatch):
+    from pitchweave.llm import leak
+
+    rnd = random.Random(13)
+    items = [(i, sentence(rnd, 14), None) for i in range(12)]
+    docs = [(i, f"{sentence(rnd, 9)}\n{p}") for i, p, _ in items]
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string, question string")
+    monkeypatch.setattr(leak, "PARTS", 3)
+    out = find_leaks(d, e, items_at_once=2)
+    assert sorted((r.doc_id, r.item_id) for r in out.collect()) == [(i, i) for i in range(12)]
