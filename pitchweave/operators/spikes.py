@@ -8,76 +8,131 @@ scatter of a series is 1.4826 times the median absolute residual against that co
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Frames of context on either side of a block, window and ranks of the profiles.
 HALO = 40
 WIDTH, RANK, FINE_RANK = 12, 3, 5
-#: Share of the scatter by which a course moves in a round once it has settled.
-SETTLED = 0.01
+#: Share of the scatter by which a course moves in a round once it has settled; rounds; rows, series and grid cells computed at once.
+SETTLED, ROUNDS, ROWS, STACK, CELLS = 0.01, 12, 32_768, 256, 1 << 21
 
 
 def spike_scores(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(course, deviations in units of the usual scatter, scatter) of one series on a regular grid (NaN = missing).
+    """(course, deviations in units of the usual scatter, scatter) of one series on a regular grid (NaN = missing)."""
+    course, score, scatter = spike_scores_of(v[None, :], np.array([len(v)]))
+    return course[0], score[0], float(scatter[0])
+
+
+def spike_scores_of(v: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``spike_scores`` of many series at once: row i of ``v`` holds ``n[i]`` frames, and NaN beyond.
 
     The scatter is that of the residuals against the rank-3 course, widened for the share of noise the course takes
     up.  A second, finer low-rank completion without the suspicious readings follows sharp turns that a rank-3 course
     rounds off; a reading counts as far from both.  It is made only where some reading stands out.
     """
     seen = np.isfinite(v)
-    if seen.sum() < 8:
-        return np.full(len(v), np.nan), np.where(seen, 0.0, np.nan), float("nan")
-    level = np.median(v[seen])
-    at = np.arange(len(v))
-    start = _rolling_median(np.interp(at, at[seen], v[seen]), 9) - level
-    course = _project(v - level, seen, start, RANK, None)
-    residual = np.abs(v - level - course)
-    scatter = 1.4826 * np.nanmedian(residual) / np.sqrt(1 - RANK / WIDTH)
-    floor = max(scatter, 1e-3 * float(np.nanmedian(np.abs(v[seen] - level))), 1e-9)
+    course, score, scatter = np.full(v.shape, np.nan), np.where(seen, 0.0, np.nan), np.full(len(v), np.nan)
+    for lo in range(0, len(v), STACK):
+        rows = np.flatnonzero(seen[lo : lo + STACK].sum(axis=1) >= 8) + lo
+        width = np.minimum(WIDTH, np.maximum(4, n[rows] // 3))
+        for w in np.unique(width).tolist():
+            at = rows[width == w]
+            size = int(n[at].max())
+            course[at, :size], score[at, :size], scatter[at] = _scores(v[at, :size], n[at], w)
+    return course, score, scatter
+
+
+def _scores(v: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    seen, size = np.isfinite(v), v.shape[1]
+    level = _median(v, seen)[:, None]
+    frame = np.arange(size)
+    inside = frame < n[:, None]
+    start = np.zeros_like(v)
+    for i in range(len(v)):
+        start[i] = v[i] if seen[i].all() else np.interp(frame, frame[seen[i]], v[i, seen[i]])
+    start = _rolling_median(np.where(inside, start, np.take_along_axis(start, n[:, None] - 1, axis=1)), 9) - level
+    v = np.where(seen, v - level, 0.0)
+    course = _project(v, seen, n, start, width, RANK, None)
+    residual = np.abs(v - course)
+    scatter = 1.4826 * _median(residual, seen) / np.sqrt(1 - RANK / WIDTH)
+    floor = np.maximum(np.maximum(scatter, 1e-3 * _median(np.abs(v), seen)), 1e-9)[:, None]
     far = seen & (residual > 4 * floor)
-    if far.any():
-        fine = _project(v - level, seen, course, FINE_RANK, seen & ~far)
-        residual = np.minimum(residual, np.abs(v - level - fine))
-    return course + level, residual / floor, float(scatter)
+    out = np.flatnonzero(far.any(axis=1))
+    if len(out):
+        fine = _project(v[out], seen[out], n[out], course[out], width, FINE_RANK, seen[out] & ~far[out])
+        residual[out] = np.minimum(residual[out], np.abs(v[out] - fine))
+    return np.where(inside, course + level, np.nan), np.where(seen, residual / floor, np.nan), scatter
+
 
+def _median(v: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Median of each row's values that are in use; there is one at least."""
+    ordered, count = np.sort(np.where(use, v, np.inf), axis=1), use.sum(axis=1)
+    row = np.arange(len(v))
+    return (ordered[row, (count - 1) // 2] + ordered[row, count // 2]) / 2
 
-def _project(v: np.ndarray, seen: np.ndarray, course: np.ndarray, rank: int, trusted: np.ndarray | None, rounds: int = 12) -> np.ndarray:
+
+def _project(v: np.ndarray, seen: np.ndarray, n: np.ndarray, course: np.ndarray, width: int, rank: int, trusted: np.ndarray | None) -> np.ndarray:
     """Alternating projections between the low-rank window profiles and the readings that are not in the sparse part.
 
     ``trusted`` fixes the readings to follow; without it they are found anew each round: those within six, later four,
     scatters of the course.  The first course is a rolling median, which an excursion of up to four frames cannot move.
+
+    The profile matrix of a series has a column for each window.  Its covariance is summed up by differences of running
+    sums, and its projection on the principal components is a correlation followed by a convolution with each; so the
+    matrix itself is never written down.
     """
-    n = len(v)
-    width = int(min(WIDTH, max(4, n // 3)))
-    columns = n - width + 1
-    times = np.minimum(np.minimum(np.arange(1, n + 1), np.arange(n, 0, -1)), min(width, columns))
-    for i in range(rounds):
-        residual = np.abs(v - course)
-        scatter = 1.4826 * float(np.median(residual[seen]))
-        keep = seen & (residual <= max(4.0, 6.0 - i) * max(scatter, 1e-9)) if trusted is None else trusted
-        m = np.lib.stride_tricks.sliding_window_view(np.where(keep, v, course), width).T
-        mean = m.mean(axis=1, keepdims=True)
-        m = m - mean
-        top = np.linalg.eigh(m @ m.T)[1][:, -rank:]
-        low = top @ (top.T @ m) + mean
-        fresh = np.zeros(n)
+    result, active = course.copy(), np.arange(len(v))
+    size = v.shape[1]
+    rank, most = min(rank, width), size - width + 1
+    frame = np.arange(size)
+    for i in range(ROUNDS):
+        vi, ni, old, si = v[active], n[active], result[active], seen[active]
+        columns = ni - width + 1
+        scatter = 1.4826 * _median(np.abs(vi - old), si)
+        keep = si & (np.abs(vi - old) <= max(4.0, 6.0 - i) * np.maximum(scatter, 1e-9)[:, None]) if trusted is None else trusted[active]
+        w = np.where(frame < ni[:, None], np.where(keep, vi, old), 0.0)
+        ends = columns[:, None] + np.arange(width)
+
+        def between(x: np.ndarray) -> np.ndarray:  # sums over the windows, for each position in a window
+            sums = np.zeros((len(x), size + 1))
+            np.cumsum(x, axis=1, out=sums[:, 1 : x.shape[1] + 1])
+            return np.take_along_axis(sums, ends[:, : width - (size - x.shape[1])], axis=1) - sums[:, : width - (size - x.shape[1])]
+
+        mean = between(w) / columns[:, None]
+        cov = np.empty((len(w), width, width))
+        for d in range(width):
+            r = np.arange(width - d)
+            cov[:, r, r + d] = cov[:, r + d, r] = between(w[:, : size - d] * w[:, d:]) - columns[:, None] * mean[:, r] * mean[:, r + d]
+        top = np.linalg.eigh(cov)[1][:, :, -rank:]
+        parts = np.repeat(-np.einsum("bwr,bw->br", top, mean)[:, :, None], most, axis=2)
+        for r in range(width):
+            parts += top[:, r, :, None] * w[:, None, r : r + most]
+        valid = np.arange(most) < columns[:, None]
+        low = top @ (parts * valid[:, None, :]) + mean[:, :, None] * valid[:, None, :]
+        fresh = np.zeros_like(w)
         for r in range(width):
-            fresh[r : r + columns] += low[r]
-        fresh /= times
-        moved = float(np.sqrt(np.mean((fresh - course) ** 2)))
-        course = fresh
-        if i > 2 and moved < SETTLED * max(scatter, 1e-6):
-            break
-    return course
+            fresh[:, r : r + most] += low[:, r]
+        times = np.minimum(np.minimum(frame + 1, ni[:, None] - frame), np.minimum(width, columns)[:, None])
+        fresh /= np.maximum(times, 1)
+        moved = np.sqrt(((fresh - old) ** 2 * (frame < ni[:, None])).sum(axis=1) / ni)
+        result[active] = fresh
+        if i > 2:
+            active = active[moved >= SETTLED * np.maximum(scatter, 1e-6)]
+            if not len(active):
+                break
+    return result
 
 
 def _rolling_median(v: np.ndarray, width: int) -> np.ndarray:
     half = width // 2
-    padded = np.concatenate([np.full(half, v[0]), v, np.full(half, v[-1])])
-    return np.median(np.lib.stride_tricks.sliding_window_view(padded, width), axis=1)
+    padded = np.concatenate([np.repeat(v[:, :1], half, axis=1), v, np.repeat(v[:, -1:], half, axis=1)], axis=1)
+    return np.partition(np.lib.stride_tricks.sliding_window_view(padded, width, axis=1), half, axis=2)[:, :, half]
 
 
 def short_excursions(score: np.ndarray, seen: np.ndarray, threshold: float, longest: int) -> np.ndarray:
@@ -122,6 +177,18 @@ def constant_runs(v: np.ndarray, least: int) -> np.ndarray:
     return (np.bincount(run)[run] >= least) & np.isfinite(v)
 
 
+def _starts(rows: pa.Table, columns: list[str]) -> np.ndarray:
+    """Whether each row begins a new group of equal values (NULL like NULL) in these columns."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for c in columns:
+        column = rows[c].combine_chunks()
+        a, b = column.slice(1), column.slice(0, max(len(column) - 1, 0))
+        same = pc.fill_null(pc.equal(a, b), False).to_numpy(zero_copy_only=False) | (pc.is_null(a).to_numpy(zero_copy_only=False) & pc.is_null(b).to_numpy(zero_copy_only=False))
+        new[1:] |= ~same.astype(bool)
+    return new
+
+
 def flag_readings(
     df: DataFrame,
     *,
@@ -160,36 +227,62 @@ def flag_readings(
     fields = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in names)
     schema = f"{fields}, k bigint, spike boolean, stuck boolean, impossible boolean, score double, " + ", ".join(f"c{i} double" for i in range(n))
 
-    def kernel(group: pd.DataFrame) -> pd.DataFrame:
-        columns = [f"v{i}" for i in range(n)]
-        blk = int(group["blk"].iloc[0])
-        readings = [group[c].to_numpy(float) for c in columns]
-        order = np.lexsort([*reversed(readings), group["k"].to_numpy()])
-        k = group["k"].to_numpy()[order]
-        order = order[np.r_[True, k[1:] != k[:-1]]]
-        k, bad = group["k"].to_numpy()[order], group["bad"].to_numpy(bool)[order]
-        at = k - k[0]
-        size = int(at[-1]) + 1
-        spike, stuck, score = np.zeros(size, bool), np.zeros(size, bool), np.zeros(size)
-        courses = {}
-        for i, values in enumerate(readings):
-            grid = np.full(size, np.nan)
-            grid[at] = values[order]
+    def judge(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """The flags of whole groups (series, block), sorted."""
+        new, blk, k = _starts(rows, [*names, "blk"]), rows["blk"].to_numpy(), rows["k"].to_numpy()
+        once = new | np.r_[True, k[1:] != k[:-1]]  # of several rows at one frame the first
+        rows = rows.filter(pa.array(once))
+        new, blk, k, bad = new[once], blk[once], k[once], rows["bad"].to_numpy(zero_copy_only=False).astype(bool)
+        group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        at = k - k[first][group]
+        size = at[np.r_[first[1:], len(k)] - 1] + 1
+        shape = (len(first), int(size.max()))
+        if len(first) > 1 and shape[0] * shape[1] > CELLS:  # few readings over many frames: fewer groups at once
+            middle = int(first[len(first) // 2])
+            yield from judge(rows.slice(0, middle).combine_chunks())
+            yield from judge(rows.slice(middle).combine_chunks())
+            return
+        spike, stuck, score, courses = np.zeros(len(k), bool), np.zeros(len(k), bool), np.zeros(len(k)), []
+        for i in range(n):
+            grid = np.full(shape, np.nan)
+            grid[group, at] = rows[f"v{i}"].to_numpy()
             grid[~np.isfinite(grid)] = np.nan
-            stuck |= constant_runs(grid, constant)
-            usable = grid.copy()
-            usable[at[bad]] = np.nan
-            course, deviation, _ = spike_scores(usable)
-            seen = np.isfinite(usable)
+            apart = np.concatenate([grid, np.full((len(first), 1), np.nan)], axis=1)  # a run ends with its series
+            stuck |= constant_runs(apart.ravel(), constant).reshape(apart.shape)[group, at]
+            grid[group[bad], at[bad]] = np.nan
+            course, deviation, _ = spike_scores_of(grid, size)
+            seen = np.isfinite(grid)
             deviation = np.where(seen, np.nan_to_num(deviation), 0.0)
-            spike |= short_excursions(deviation, seen, threshold, longest)
-            score = np.maximum(score, deviation)
-            courses[f"c{i}"] = course[at]
+            hit = np.zeros(shape, bool)
+            for g in np.flatnonzero((deviation > threshold).any(axis=1)).tolist():
+                hit[g] = short_excursions(deviation[g], seen[g], threshold, longest)
+            spike |= hit[group, at]
+            score = np.maximum(score, deviation[group, at])
+            courses.append(course[group, at])
         own = (k >= blk * block) & (k < (blk + 1) * block)
-        flags = {"spike": spike[at], "stuck": stuck[at], "impossible": bad, "score": score[at], **courses}
-        return group[names].iloc[order[own]].assign(k=k[own], **{c: v[own] for c, v in flags.items()})
+        keys_ = [rows[c].combine_chunks() for c in names]
+        flags = [pa.array(k), pa.array(spike), pa.array(stuck), pa.array(bad), pa.array(score), *map(pa.array, courses)]
+        out = pa.RecordBatch.from_arrays([*keys_, *flags], names=[*names, "k", "spike", "stuck", "impossible", "score", *[f"c{i}" for i in range(n)]])
+        yield out.filter(pa.array(own))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        waiting = 0
+        for b in batches:
+            rest.append(b)
+            waiting += b.num_rows
+            if waiting < ROWS:
+                continue
+            rows = pa.Table.from_batches(rest)
+            end = int(np.flatnonzero(_starts(rows, [*names, "blk"])).max())  # the last group may go on
+            if end:
+                yield from judge(rows.slice(0, end).combine_chunks())
+            rest, waiting = rows.slice(end).combine_chunks().to_batches(), rows.num_rows - end
+        if waiting:
+            yield from judge(pa.Table.from_batches(rest).combine_chunks())
 
-    flagged = rows.groupBy(*names, "blk").applyInPandas(kernel, schema)
+    line = [*names, "blk", "k", *[F.col(f"v{i}").asc_nulls_last() for i in range(n)]]
+    flagged = rows.repartition(*names, "blk").sortWithinPartitions(*line).mapInArrow(kernel, schema)
     return flagged.select(
         *[F.col(f"key{i}").alias(k) for i, k in enumerate(keys)],
         F.col("k").alias(order),
