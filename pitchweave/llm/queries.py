@@ -39,7 +39,7 @@ def p5_search(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("id").alias("detection_id"), F.col("other").alias("box_id"), "sim")
 
 
-def kit_clusters(spark: SparkSession, sf: str) -> DataFrame:
+def kit_clusters(spark: SparkSession, sf: str, *, typical: bool = False) -> DataFrame:
     boxes, tracklets = table(spark, sf, "boxes"), table(spark, sf, "tracklets")
     # a tracklet's histogram is the sum of those it has
     whole = F.filter("feats", lambda h: F.size(h) == 30)
@@ -50,6 +50,7 @@ def kit_clusters(spark: SparkSession, sf: str) -> DataFrame:
             "tracklets": (tracklets.where(F.size("feats") > 0), "track_id", half_roots(feats, 15)),
         },
         dim=30,
+        typical=typical,
     )
 
 
@@ -59,8 +60,8 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Size and three most typical members of each group of p6_found."""
-    rank = F.row_number().over(W.partitionBy("src", "cluster_id").orderBy(F.desc("flow"), "id"))
-    top = kit_clusters(spark, sf).withColumn("r", rank).where(F.col("r") <= 3)
+    rank = F.row_number().over(W.partitionBy("src", "cluster_id").orderBy(F.desc("strength"), "id"))
+    top = kit_clusters(spark, sf, typical=True).withColumn("r", rank).where(F.col("r") <= 3)
     return top.groupBy("src", "cluster_id").agg(F.max("size").alias("size"), F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda e: e["id"]).alias("typical"))
 
 
