@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchweave.session import cut
+from pitchweave.session import cut, release
 
 
 def components(nodes: DataFrame, links: DataFrame, *, keys: list[str], node: str, a: str, b: str, rounds: int = 64) -> DataFrame:
@@ -25,6 +25,7 @@ def components(nodes: DataFrame, links: DataFrame, *, keys: list[str], node: str
         moved = cut(jumped.join(labels.withColumnRenamed("label", "old"), [*keys, "u"]))
         changed = moved.where("label <> old").limit(1).count()
         labels = moved.drop("old")
+        release(labels.sparkSession)
         if not changed:
             break
     return labels.select(*keys, F.col("u").alias(node), F.col("label").alias("component"))

@@ -145,25 +145,20 @@ def short_excursions(score: np.ndarray, seen: np.ndarray, threshold: float, long
     """
     hit = np.zeros(len(score), bool)
     at = np.flatnonzero(seen)
+    score_at = score[at]
     todo = [(0, len(at), threshold * 0.625)]
     while todo:
         lo, hi, low = todo.pop()
-        i = lo
-        while i < hi:
-            if not score[at[i]] > low:
-                i += 1
+        edges = np.flatnonzero(np.diff(np.r_[False, score_at[lo:hi] > low, False].view(np.int8))) + lo
+        for i, j in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            run = score_at[i:j]
+            highest = run.max()
+            if not highest > threshold:
                 continue
-            j = i
-            while j < hi and score[at[j]] > low:
-                j += 1
-            run = score[at[i:j]]
-            bounded = i > 0 and j < len(at)
-            if bounded and at[j] - at[i] <= longest and at[j - 1] - at[i] < longest:
+            if i > 0 and j < len(at) and at[j] - at[i] <= longest and at[j - 1] - at[i] < longest:
                 hit[at[i:j]] = run > threshold
-            elif j - i > 1 and run.max() > threshold and (cut := max(run.max() / 3, low * 1.01)) > low:
-                if (run > cut).sum() < j - i:
-                    todo.append((i, j, cut))
-            i = j
+            elif j - i > 1 and (cut := max(highest / 3, low * 1.01)) > low and (run > cut).sum() < j - i:
+                todo.append((i, j, cut))
     return hit
 
 
