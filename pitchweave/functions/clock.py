@@ -14,3 +14,13 @@ def reference_time(t: str, offset: str, drift: str) -> Column:
 def grid_position(t: str, offset: str, drift: str, start: str, fps: str) -> Column:
     """Position on the frame grid, in frames; the grid frame is this rounded half to even."""
     return (reference_time(t, offset, drift) - F.col(start)) * F.col(fps)
+
+
+def camera_time(reference: str, offset: str, drift: str) -> Column:
+    """Camera time of a reference time: the inverse of ``reference_time``."""
+    return (F.col(reference) - F.col(offset)) / (1 + F.coalesce(F.col(drift), F.lit(0.0)))
+
+
+def composed(offset: Column, drift: Column, further_offset: Column, further_drift: Column, start: Column) -> tuple[Column, Column]:
+    """(offset, drift) of a clock that is corrected once more by ``further_offset + further_drift * (reference - start)``."""
+    return offset * (1 + further_drift) + further_offset - further_drift * start, drift + further_drift * (1 + drift)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,7 +43,7 @@ def box_covariance(j: tuple[Column, Column, Column, Column], w: Column, h: Colum
     the Jacobian, plus 0.15 m of its own."""
     su, sv = F.greatest(0.03 * w, F.lit(1.0)), F.greatest(0.05 * h, F.lit(1.0))
     a, b, c, d = j
-    return a * a * su * su + b * b * sv * sv + 0.0225, a * c * su * su + b * d * sv * sv, c * c * su * su + d * d * sv * sv + 0.0225
+    return a * a * su * su + b * b * sv * sv + 0.15**2, a * c * su * su + b * d * sv * sv, c * c * su * su + d * d * sv * sv + 0.15**2
 
 
 def largest_eigenvalue(xx: Column, xy: Column, yy: Column) -> Column:
@@ -82,11 +80,35 @@ def hypot(x: Column, y: Column) -> Column:
     return F.sqrt(x * x + y * y)
 
 
-def court_keypoints(length: float, width: float, area: float = 6.0) -> list[tuple[str, float, float]]:
-    """Corners, halfway marks, centre and penalty spots of a court, by name."""
-    out = [("centre", length / 2, width / 2), ("half_low", length / 2, 0.0), ("half_high", length / 2, width)]
-    for end, x, sign in (("left", 0.0, 1), ("right", length, -1)):
-        out += [(f"{end}_corner_low", x, 0.0), (f"{end}_corner_high", x, width), (f"{end}_spot", x + sign * area, width / 2), (f"{end}_second_spot", x + sign * 10.0, width / 2)]
-        for post, dy in (("low", -1.5), ("high", 1.5)):
-            out += [(f"{end}_post_{post}", x, width / 2 + dy), (f"{end}_area_{post}", x + sign * area * math.cos(math.radians(45)), width / 2 + dy + math.copysign(area * math.sin(math.radians(45)), dy))]
-    return out
+def contains(x: str | Column, y: str | Column, length: str | Column, width: str | Column, margin: float = 0.0) -> Column:
+    """Whether a position lies on a court or up to ``margin`` metres beyond its lines, borders included."""
+    x, y, length, width = (F.col(c) if isinstance(c, str) else c for c in (x, y, length, width))
+    return x.between(F.lit(-margin), length + margin) & y.between(F.lit(-margin), width + margin)
+
+
+def shifted(h: list[float], dx: float, dy: float) -> list[float]:
+    """The image-to-pitch matrix of a camera whose image has moved by (dx, dy) pixels: points are moved back first."""
+    return [v for r in range(3) for v in (h[3 * r], h[3 * r + 1], h[3 * r + 2] - h[3 * r] * dx - h[3 * r + 1] * dy)]
+
+
+def reachable(dx: Column, dy: Column, seconds: Column, spread: Column | float = 0.0, *, vmax: float = 9.0, slack: float = 1.0) -> Column:
+    """Whether a player can cover (dx, dy) in the time; ``spread`` is the largest eigenvalue of both positions' covariance."""
+    return hypot(dx, dy) <= vmax * seconds + slack + 3 * F.sqrt(F.lit(spread) if isinstance(spread, float) else spread)
+
+
+def view_angle(focal_mm: Column | float) -> Column:
+    """Horizontal angle of view in radians of a lens on the video crop of a small-format sensor 34.62 mm wide."""
+    return 2 * F.atan(F.lit(17.31) / focal_mm)
+
+
+def hue_of(number: Column) -> Column:
+    """Hue of an id, 0 to 1, spread by the golden ratio."""
+    return F.pmod(number * 0.618034, F.lit(1.0))
+
+
+def clipped(box: tuple[Column, Column, Column, Column], tile: tuple[Column, Column, Column, Column]) -> tuple[tuple[Column, Column, Column, Column], Column]:
+    """A box (x1, y1, x2, y2) clipped to a tile, in the tile's coordinates, and the share of its area that is inside."""
+    x1, y1 = F.greatest(box[0], tile[0]), F.greatest(box[1], tile[1])
+    x2, y2 = F.least(box[2], tile[2]), F.least(box[3], tile[3])
+    inside = F.greatest(x2 - x1, F.lit(0.0)) * F.greatest(y2 - y1, F.lit(0.0))
+    return (x1 - tile[0], y1 - tile[1], x2 - tile[0], y2 - tile[1]), inside / F.nullif((box[2] - box[0]) * (box[3] - box[1]), F.lit(0.0))

@@ -123,6 +123,14 @@ def camera_disagreement(spark: SparkSession, sf: str) -> DataFrame:
     return zones.agg(F.count("*").alias("n"), F.round(F.median("d"), 6).alias("median_m"), F.round(F.avg(F.col("bx") - F.col("ax")), 6).alias("dx"), F.round(F.avg(F.col("by") - F.col("ay")), 6).alias("dy")).where("n > 30")
 
 
+def mutual_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Mutual pairs with their distance ``d`` and that of the uncorrected positions, ``raw_m``."""
+    rows = mutual_nearest(_pairs(spark, sf), group=["match_id", "k", "camera_a", "camera_b"], a="a", b="b", distance="d")
+    raw = boxes(spark, sf).select("box_id", "x_raw", "y_raw")
+    rows = rows.join(raw.withColumnsRenamed({"box_id": "a", "x_raw": "rax", "y_raw": "ray"}), "a").join(raw.withColumnsRenamed({"box_id": "b", "x_raw": "rbx", "y_raw": "rby"}), "b")
+    return rows.withColumn("raw_m", F.sqrt((F.col("rax") - F.col("rbx")) ** 2 + (F.col("ray") - F.col("rby")) ** 2)).where("raw_m is not null")
+
+
 def _track_boxes(spark: SparkSession, sf: str) -> DataFrame:
     points = table(spark, sf, "track_points").select("match_id", "track_id", "k", F.explode("boxes").alias("b"))
     return points.select("match_id", "track_id", "k", F.col("b.camera").alias("camera"), F.col("b.box_id").alias("box_id")).distinct()

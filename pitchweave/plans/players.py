@@ -7,8 +7,11 @@ from math import ceil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchweave.functions.geometry import hypot
+from pitchweave.functions.geometry import contains, hypot
 from pitchweave.operators.blocks import core, in_blocks, islands, pieces, series
+from pitchweave.operators.fill import stand_ins, without_stand_ins
+from pitchweave.operators.smoothing import smooth_tracks
+from pitchweave.session import cut
 from pitchweave.sources.tables import table
 
 SPRINT_MS, SPRINT_S, SPAN_S, GAP_S = 5.5, 1.0, 0.5, 2.0
@@ -17,12 +20,25 @@ MAX_FPS = 60
 #: Frames in which a player crosses any hall, so that no step over more of them is too fast.
 FAR_FRAMES = 8 * MAX_FPS
 PLAYER = ["match_id", "player_id"]
+#: Metres beyond the lines where a position still counts.
+COURT_MARGIN_M = 1.0
+
+
+def on_court(spark: SparkSession, sf: str, name: str, keys: list[str]) -> DataFrame:
+    """One row per series and frame of ``tracks`` or ``track_points`` with a true position up to a metre beyond its match's lines.
+
+    Positions written for missing ones are learned from the table; frames before the match's start are left out.
+    """
+    rows = table(spark, sf, name).where("k >= 0")
+    rows = without_stand_ins(rows, ["x", "y"], stand_ins(rows, ["x", "y"], entity=keys))
+    court = table(spark, sf, "futsal_matches").groupBy("match_id").agg(F.max("court_length").alias("len_"), F.max("court_width").alias("wid_"))
+    rows = rows.join(court, "match_id").where(contains("x", "y", "len_", "wid_", COURT_MARGIN_M))
+    return rows.groupBy(*keys, "k").agg(F.min_by("x", F.struct("x", "y")).alias("x"), F.min_by("y", F.struct("x", "y")).alias("y"))
 
 
 def seen(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per player and frame with a position within four metres of a 50 by 30 m hall."""
-    rows = table(spark, sf, "tracks").where("x between -4 and 54 and y between -4 and 34")
-    return rows.groupBy(*PLAYER, "k").agg(F.min_by("x", F.struct("x", "y")).alias("x"), F.min_by("y", F.struct("x", "y")).alias("y"))
+    """Players' positions on court."""
+    return on_court(spark, sf, "tracks", PLAYER)
 
 
 def with_clock(spark: SparkSession, sf: str, df: DataFrame) -> DataFrame:
@@ -45,15 +61,18 @@ def _fastest(spark: SparkSession, sf: str) -> int:
 
 def speeds(spark: SparkSession, sf: str) -> DataFrame:
     """Speed over half a second around a frame: from n div 2 frames before it to n - n div 2 after it, n = rint(fps / 2)."""
-    reach = _fastest(spark, sf) // 4 + 1
-    rows = with_clock(spark, sf, in_blocks(seen(spark, sf), "k", before=reach, after=reach))
+    return _speeds_of(spark, sf, seen(spark, sf))
+
+
+def _speeds_of(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
+    """Two equi-joins on the frame; each moves a row to the frame whose speed it takes part in."""
+    rows = with_clock(spark, sf, rows)
     n = F.greatest(F.rint(F.col("fps") * SPAN_S), F.lit(1.0)).cast("int")
     back = F.floor(n / 2)
-    near = series(PLAYER, "k").rangeBetween(-reach, reach)
-    around = F.collect_list(F.struct("k", "x", "y")).over(near)
-    rows = rows.withColumns({"n": n, "a": F.filter(around, lambda e: e["k"] == F.col("k") - back), "b": F.filter(around, lambda e: e["k"] == F.col("k") - back + n)})
-    a, b = F.get("a", F.lit(0)), F.get("b", F.lit(0))
-    return core(rows).select(*PLAYER, "k", "fps", (hypot(b["x"] - a["x"], b["y"] - a["y"]) * F.col("fps") / F.col("n")).alias("speed"))
+    a = rows.select(*PLAYER, (F.col("k") + back).cast("bigint").alias("k"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    b = rows.select(*PLAYER, (F.col("k") + back - n).cast("bigint").alias("k"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    both = rows.select(*PLAYER, F.col("k").cast("bigint").alias("k"), "fps", n.alias("n")).join(a, [*PLAYER, "k"], "left").join(b, [*PLAYER, "k"], "left")
+    return both.select(*PLAYER, F.col("k").cast(rows.schema["k"].dataType).alias("k"), "fps", (hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) * F.col("fps") / F.col("n")).alias("speed"))
 
 
 def track_steps(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,6 +108,25 @@ def player_summary(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def player_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """``player_summary`` from smoothed positions, so that jitter is no running; gaps of up to two seconds are bridged."""
+    rows = with_clock(spark, sf, seen(spark, sf)).withColumn("dt", 1 / F.col("fps"))
+    line = cut(smooth_tracks(rows, keys=PLAYER, order="k", dt="dt", gap_s=GAP_S))
+    reach = _fastest(spark, sf) // 4 + 1
+    near = with_clock(spark, sf, in_blocks(line, "k", before=reach, after=reach))
+    by = series(PLAYER, "k")
+    step = F.when(F.col("k") - F.lag("k").over(by) == 1, hypot(F.col("x") - F.lag("x").over(by), F.col("y") - F.lag("y").over(by)))
+    walked = core(near.withColumn("step", step)).groupBy(*PLAYER).agg(F.coalesce(F.sum("step"), F.lit(0.0)).alias("distance_m"))
+    fast = cut(_speeds_of(spark, sf, line))
+    speed = fast.groupBy(*PLAYER).agg(F.max("speed").alias("max_speed_ms"), F.avg("speed").alias("mean_speed_ms"))
+    runs = islands(fast.where(F.col("speed") >= SPRINT_MS).select(*PLAYER, "k"), keys=PLAYER, order="k", most=1)
+    fps = table(spark, sf, "futsal_matches").select("match_id", "fps", "n_frames")
+    sprints = runs.join(fps, "match_id").where(F.col("rows") >= F.rint(F.col("fps") * SPRINT_S)).groupBy(*PLAYER).agg(F.count("*").alias("sprints"))
+    share = seen(spark, sf).groupBy(*PLAYER).agg(F.count("*").alias("n")).join(fps, "match_id").select(*PLAYER, F.round(F.col("n") / F.col("n_frames"), 6).alias("seen_ratio"))
+    out = share.join(walked, PLAYER).join(speed, PLAYER, "left").join(sprints, PLAYER, "left")
+    return out.select(*PLAYER, *[F.round(c, 4).alias(c) for c in ("distance_m", "max_speed_ms", "mean_speed_ms")], F.coalesce("sprints", F.lit(0)).alias("sprints"), "seen_ratio")
+
+
 def heatmap(spark: SparkSession, sf: str, cell: float = 1.0) -> DataFrame:
     """Share of each player's positions in each cell; cells are length / ceil(length / cell) wide, the far edges inclusive."""
     rows = with_clock(spark, sf, seen(spark, sf)).where("x between 0 and court_length and y between 0 and court_width")
@@ -146,13 +184,25 @@ def jump_pieces(spark: SparkSession, sf: str, vmax: float = 9.0, slack: float =
     return rows.groupBy(*PLAYER, "piece").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count("*").alias("rows"))
 
 
+def player_team(spark: SparkSession, sf: str) -> DataFrame:
+    """Known team of each player, the commoner one."""
+    return table(spark, sf, "tracks").where(F.col("team").isin("A", "B")).groupBy(*PLAYER).agg(F.mode("team", True).alias("team"))
+
+
 def duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of players of a match at the same spot: at least 3 shared frames, median distance below 0.8 m."""
-    a, b = seen(spark, sf).alias("a"), seen(spark, sf).alias("b")
-    pairs = a.join(b, [F.col("a.match_id") == F.col("b.match_id"), F.col("a.k") == F.col("b.k"), F.col("a.player_id") < F.col("b.player_id")])
+    """Pairs of players of a match, of no two known teams, at the same spot: at least 3 shared frames, median distance below
+    0.8 m, four fifths of them below 1.5 m; with the share of the shorter one's frames that they share."""
+    rows = seen(spark, sf).join(player_team(spark, sf), PLAYER, "left")
+    a, b = rows.alias("a"), rows.alias("b")
+    same = F.coalesce(F.col("a.team") == F.col("b.team"), F.lit(True))
+    pairs = a.join(b, [F.col("a.match_id") == F.col("b.match_id"), F.col("a.k") == F.col("b.k"), F.col("a.player_id") < F.col("b.player_id"), same])
     d = hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y"))
-    out = pairs.groupBy(F.col("a.match_id").alias("match_id"), F.col("a.player_id").alias("a"), F.col("b.player_id").alias("b")).agg(F.count("*").alias("shared"), F.round(F.median(d), 6).alias("median_m"), F.round(F.avg((d < 1.5).cast("int")), 6).alias("near"))
-    return out.where("shared >= 3 and median_m < 5.0")
+    out = pairs.groupBy(F.col("a.match_id").alias("match_id"), F.col("a.player_id").alias("a"), F.col("b.player_id").alias("b")).agg(F.count("*").alias("shared"), F.median(d).alias("median"), F.avg((d < 1.5).cast("int")).alias("share_near"))
+    size = seen(spark, sf).groupBy(*PLAYER).agg(F.count("*").alias("n"))
+    out = out.where("shared >= 3 and median < 0.8 and share_near >= 0.8")
+    for side in ("a", "b"):
+        out = out.join(size.select("match_id", F.col("player_id").alias(side), F.col("n").alias(f"n{side}")), ["match_id", side])
+    return out.select("match_id", "a", "b", "shared", F.round("median", 6).alias("median_m"), F.round("share_near", 6).alias("near"), F.round(F.col("shared") / F.least("na", "nb"), 6).alias("of_shorter"))
 
 
 def encounters(spark: SparkSession, sf: str, near_m: float = 1.5) -> DataFrame:
@@ -178,10 +228,20 @@ def team_zone_cube(spark: SparkSession, sf: str) -> DataFrame:
     return rows.cube("team", "zone").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
 
 
-QUERIES = {f.__name__: f for f in (track_steps, track_speeds, sprint_runs, player_summary, heatmap, heatmap_blur, noise_level, presence_runs, first_and_last, jump_pieces, duplicate_pairs, encounters, team_counts, team_zone_cube)}
+QUERIES = {f.__name__: f for f in (track_steps, track_speeds, sprint_runs, player_summary, player_metrics, heatmap, heatmap_blur, noise_level, presence_runs, first_and_last, jump_pieces, duplicate_pairs, encounters, team_counts, team_zone_cube)}
+
+
+
+def court_sql(source: str, keys: str, name: str) -> str:
+    """SQL of ``on_court``."""
+    return f"""{name}_all AS (SELECT * FROM {source} WHERE k >= 0 AND x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)),
+{name}_fake AS (SELECT x, y FROM {name}_all GROUP BY x, y HAVING count(*) >= 8 AND count(*) >= 0.001 * (SELECT count(*) FROM {name}_all) AND count(DISTINCT ({keys})) > 1),
+{name} AS (SELECT {keys}, k, min(struct_pack(x := x, y := y)).x AS x, min(struct_pack(x := x, y := y)).y AS y
+  FROM {name}_all a JOIN futsal_matches m USING (match_id) WHERE x BETWEEN -1 AND court_length + 1 AND y BETWEEN -1 AND court_width + 1
+  AND NOT EXISTS (SELECT 1 FROM {name}_fake f WHERE f.x = a.x AND f.y = a.y) GROUP BY ALL)"""
+
 
-_SEEN = """seen AS (SELECT match_id, player_id, k, min(struct_pack(x := x, y := y)).x AS x, min(struct_pack(x := x, y := y)).y AS y
-  FROM tracks WHERE x BETWEEN -4 AND 54 AND y BETWEEN -4 AND 34 GROUP BY ALL),
+_SEEN = court_sql("tracks", "match_id, player_id", "seen") + """,
 clock AS (SELECT match_id, fps, n_frames, court_length, court_width FROM futsal_matches)"""
 _STEPS = _SEEN + """,
 steps AS (SELECT match_id, player_id, k, CASE WHEN k - lag(k) OVER w = 1 THEN sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) END AS step
@@ -237,9 +297,12 @@ WHERE p.x BETWEEN 2.5 AND court_length - 2.5 AND p.y BETWEEN 2.5 AND court_width
 f AS (SELECT match_id, player_id, k, coalesce(CAST(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) > 9.0 * (k - lag(k) OVER w) / fps + 0.5 AS INT), 0) far FROM seen JOIN clock USING (match_id) WINDOW w AS (PARTITION BY match_id, player_id ORDER BY k)),
 g AS (SELECT *, sum(far) OVER (PARTITION BY match_id, player_id ORDER BY k) piece FROM f)
 SELECT match_id, player_id, CAST(piece AS BIGINT) AS piece, min(k) AS first, max(k) AS last, count(*) AS rows FROM g GROUP BY match_id, player_id, piece""",
-    "duplicate_pairs": f"""WITH {_SEEN},
-p AS (SELECT a.match_id, a.player_id a, b.player_id b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) d FROM seen a JOIN seen b ON a.match_id = b.match_id AND a.k = b.k AND a.player_id < b.player_id)
-SELECT match_id, a, b, count(*) AS shared, round(median(d), 6) AS median_m, round(avg(CAST(d < 1.5 AS INT)), 6) AS near FROM p GROUP BY ALL HAVING count(*) >= 3 AND round(median(d), 6) < 5.0""",
+    "duplicate_pairs": f"""WITH {_SEEN}, {_TEAM},
+t AS (SELECT seen.*, team FROM seen LEFT JOIN team USING (match_id, player_id)), n AS (SELECT match_id, player_id, count(*) n FROM seen GROUP BY ALL),
+p AS (SELECT a.match_id, a.player_id a, b.player_id b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) d FROM t a JOIN t b ON a.match_id = b.match_id AND a.k = b.k AND a.player_id < b.player_id AND coalesce(a.team = b.team, TRUE)),
+g AS (SELECT match_id, a, b, count(*) shared, median(d) m, avg(CAST(d < 1.5 AS INT)) near FROM p GROUP BY ALL)
+SELECT g.match_id, a, b, shared, round(m, 6) AS median_m, round(near, 6) AS near, round(shared / least(na.n, nb.n), 6) AS of_shorter FROM g
+JOIN n na ON na.match_id = g.match_id AND na.player_id = a JOIN n nb ON nb.match_id = g.match_id AND nb.player_id = b WHERE shared >= 3 AND m < 0.8 AND near >= 0.8""",
     "encounters": f"""WITH {_SEEN},
 c AS (SELECT a.match_id, a.player_id a, b.player_id b, a.k FROM seen a JOIN seen b ON a.match_id = b.match_id AND a.k = b.k AND a.player_id < b.player_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 1.5),
 """ + _islands("c", "match_id, a, b", "10") + " SELECT * FROM runs",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from pitchweave.sources.tables import table
 from pitchweave.streaming.windows import sessions, sliding_counts
@@ -45,9 +44,9 @@ def late_arrivals(spark: SparkSession, sf: str) -> DataFrame:
 
 def latest_status(spark: SparkSession, sf: str) -> DataFrame:
     """Latest match of each status, with the number of matches in it."""
-    rows = table(spark, sf, "futsal_matches")
-    order = W.partitionBy("status").orderBy(F.desc("created"), "match_id")
-    return rows.withColumns({"r": F.row_number().over(order), "n": F.count("*").over(W.partitionBy("status"))}).where("r = 1").select("status", "match_id", "n")
+    age = F.coalesce(-F.unix_micros("created"), F.lit(2**63 - 1))
+    newest = F.min(F.struct(age.alias("age"), "match_id"))
+    return table(spark, sf, "futsal_matches").groupBy("status").agg(newest.alias("m"), F.count("*").alias("n")).select("status", "m.match_id", "n")
 
 
 QUERIES = {f.__name__: f for f in (sliding_windows, tumbling_windows, user_sessions, event_payload, late_arrivals, latest_status)}

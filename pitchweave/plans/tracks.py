@@ -13,16 +13,15 @@ from pitchweave.operators.graphs import components
 from pitchweave.operators.joins import band_join
 from pitchweave.operators.smoothing import assign_pairs, motion_tracks, smooth_tracks
 from pitchweave.plans.cameras import _pairs, grid_boxes
-from pitchweave.plans.players import PLAYER, seen, with_clock
+from pitchweave.plans.players import PLAYER, court_sql, on_court, seen, with_clock
 from pitchweave.sources.tables import table
 
 TRACK = ["match_id", "track_id"]
 
 
 def points(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per track and frame with a position inside the hall; a position that is written for a missing one is exactly (0, 0)."""
-    rows = table(spark, sf, "track_points").where("x between 0 and 54 and y between 0 and 34 and not (x = 0 and y = 0)")
-    return rows.groupBy(*TRACK, "k").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    """Tracks' positions on court."""
+    return on_court(spark, sf, "track_points", TRACK)
 
 
 def spans(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,12 +120,12 @@ def state_jumps(spark: SparkSession, sf: str, jump: float = 6.0, frames: int = 5
 
 
 def pair_views(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of tracks of a match that share at least ten frames at a median distance of at most 3 m, with the share near."""
+    """Pairs of tracks of a match that share at least ten frames at a median distance of at most 1 m, seven tenths of them within 2 m."""
     a, b = points(spark, sf).alias("a"), points(spark, sf).alias("b")
     d = hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y"))
     pairs = a.join(b, [F.col("a.match_id") == F.col("b.match_id"), F.col("a.k") == F.col("b.k"), F.col("a.track_id") < F.col("b.track_id")])
     out = pairs.groupBy(F.col("a.match_id").alias("match_id"), F.col("a.track_id").alias("a"), F.col("b.track_id").alias("b")).agg(F.count("*").alias("shared"), F.round(F.median(d), 6).alias("median_m"), F.round(F.avg((d <= 2).cast("int")), 6).alias("near"))
-    return out.where("shared >= 10 and median_m <= 3")
+    return out.where("shared >= 10 and median_m <= 1 and near >= 0.7")
 
 
 def frames_both(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,8 +190,7 @@ def assigned_pairs(spark: SparkSession, sf: str) -> DataFrame:
 _NAMES = (track_ends, relink_candidates, linked_components, relinks, tracklet_appearance, label_centroids, centroid_similarity, separation_auc, concurrency, speed_violations, state_jumps, pair_views, frames_both, frames_either, frames_tracks_only, id_numbers, hermite_fill, smoothed_players, polynomial_players, box_tracks, assigned_pairs)
 QUERIES = {f.__name__: f for f in _NAMES}
 
-_POINTS = "pts AS (SELECT match_id, track_id, k, min(x) x, min(y) y FROM track_points WHERE x BETWEEN 0 AND 54 AND y BETWEEN 0 AND 34 AND NOT (x = 0 AND y = 0) GROUP BY ALL)"
-_SEEN = "seen AS (SELECT DISTINCT match_id, player_id, k FROM tracks WHERE x BETWEEN -4 AND 54 AND y BETWEEN -4 AND 34)"
+_POINTS, _SEEN = court_sql("track_points", "match_id, track_id", "pts"), court_sql("tracks", "match_id, player_id", "seen")
 _ENDS = _POINTS + """,
 ends AS (SELECT match_id, track_id, min(struct_pack(k := k, x := x, y := y)) a, max(struct_pack(k := k, x := x, y := y)) b, count(*) n FROM pts GROUP BY ALL)"""
 _RELINK = _ENDS + """,
@@ -233,7 +231,7 @@ j AS (SELECT a.match_id, a.track_id, a.k, sqrt((a.vx - b.vx) ** 2 + (a.vy - b.vy
 SELECT match_id, track_id, k, round(d, 4) AS jump FROM j WHERE d > 6""",
     "pair_views": f"""WITH {_POINTS},
 p AS (SELECT a.match_id, a.track_id a, b.track_id b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) d FROM pts a JOIN pts b ON a.match_id = b.match_id AND a.k = b.k AND a.track_id < b.track_id)
-SELECT match_id, a, b, count(*) AS shared, round(median(d), 6) AS median_m, round(avg(CAST(d <= 2 AS INT)), 6) AS near FROM p GROUP BY ALL HAVING count(*) >= 10 AND round(median(d), 6) <= 3""",
+SELECT match_id, a, b, count(*) AS shared, round(median(d), 6) AS median_m, round(avg(CAST(d <= 2 AS INT)), 6) AS near FROM p GROUP BY ALL HAVING count(*) >= 10 AND round(median(d), 6) <= 1 AND round(avg(CAST(d <= 2 AS INT)), 6) >= 0.7""",
     "frames_both": f"WITH {_POINTS}, {_SEEN} SELECT match_id, k FROM pts INTERSECT SELECT match_id, k FROM seen",
     "frames_either": f"WITH {_POINTS}, {_SEEN} SELECT match_id, k FROM pts UNION SELECT match_id, k FROM seen",
     "frames_tracks_only": f"WITH {_POINTS}, {_SEEN} SELECT DISTINCT match_id, k FROM (SELECT match_id, k FROM pts EXCEPT ALL SELECT DISTINCT match_id, k FROM seen)",
