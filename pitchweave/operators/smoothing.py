@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -49,20 +50,21 @@ def smooth_tracks(df: DataFrame, *, keys: list[str], order: str, dt: str, method
     return done.where("x is not null and not isnan(x)").select(*keys, F.col("k_").alias(order), "x", "y")
 
 
-def motion_tracks(df: DataFrame, *, keys: list[str], frame: str, id: str, block: int = 4096) -> DataFrame:
-    """(keys, id, block, track): points of each series linked by the greedy motion tracker, and the block of ``block``
-    frames each lies in.
+def track_stream(df: DataFrame, *, keys: list[str], frame: str, id: str, columns: list[str], tracker: Callable[[], Any], block: int = 4096) -> DataFrame:
+    """(keys, id, block, track): rows of each series handed in order of their frames to a tracker of its own, and the block of
+    ``block`` frames each lies in.
 
-    Tracks are numbered within a series and go on from block to block.  What a tracker does hangs on all that came
-    before, so a series is one task; but its points stream through in order, and only the live tracks and a batch are
-    held, however long it is.  ``df`` has x, y.
+    ``tracker()`` has ``feed(k, values)``, which gets whole frames and returns a track number for each row; ``values`` are
+    the Arrow-backed columns ``columns``.  What a tracker does hangs on all that came before, so a series is one task; but its
+    rows stream through in order, and only the tracker's live state and a batch are held, however long it is.
+    Rows with a NULL frame are left out.
     """
-    rows = df.select(*keys, F.col(frame).cast("bigint").alias("k_"), F.col(id).alias("id_"), "x", "y").where("k_ is not null and x is not null and y is not null")
+    rows = df.select(*keys, F.col(frame).cast("bigint").alias("k_"), F.col(id).alias("id_"), *columns).where("k_ is not null")
     rows = rows.withColumn("block", F.floor(F.col("k_") / block)).withColumn("series_", F.to_json(F.struct(*keys)))
     fields = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        series, tracker, rest = None, Follower(), None
+        series, own, rest = None, tracker(), None
         for g in chain(batches, [None]):
             if g is None:
                 g, cut = rest, 0 if rest is None else len(rest)
@@ -74,12 +76,12 @@ def motion_tracks(df: DataFrame, *, keys: list[str], frame: str, id: str, block:
                 g, rest = g.iloc[:cut], g.iloc[cut:]
             if not cut:
                 continue
-            at, k, xy, track = g["series_"].to_numpy(), g["k_"].to_numpy(), g[["x", "y"]].to_numpy(float), np.empty(cut, np.int64)
+            at, k, track = g["series_"].to_numpy(), g["k_"].to_numpy(), np.empty(cut, np.int64)
             edges = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), cut]
             for lo, hi in zip(edges, edges[1:]):
                 if at[lo] != series:
-                    series, tracker = at[lo], Follower()
-                track[lo:hi] = tracker.feed(k[lo:hi], xy[lo:hi])
+                    series, own = at[lo], tracker()
+                track[lo:hi] = own.feed(k[lo:hi], g[columns].iloc[lo:hi])
             yield g[[*keys, "id_", "block"]].assign(track=track)
 
     ordered = rows.repartition("series_").sortWithinPartitions("series_", "k_", "id_")
@@ -87,6 +89,17 @@ def motion_tracks(df: DataFrame, *, keys: list[str], frame: str, id: str, block:
     return done.withColumnRenamed("id_", id)
 
 
+class _PointFollower(Follower):
+    def feed(self, k: np.ndarray, values: pd.DataFrame) -> np.ndarray:
+        return super().feed(k, values.to_numpy(float))
+
+
+def motion_tracks(df: DataFrame, *, keys: list[str], frame: str, id: str, block: int = 4096) -> DataFrame:
+    """(keys, id, block, track): points (x, y) of each series linked by the greedy motion tracker; tracks are numbered within a
+    series and go on from block to block.  Rows without a frame or position are left out."""
+    return track_stream(df.where("x is not null and y is not null"), keys=keys, frame=frame, id=id, columns=["x", "y"], tracker=_PointFollower, block=block)
+
+
 def assign_pairs(pairs: DataFrame, *, group: list[str], a: str, b: str, cost: str, unpaired: float) -> DataFrame:
     """(group, a, b, cost): for each group the pairs of least total cost, one to one; a pair dearer than leaving both
     sides unpaired at ``unpaired`` each is not taken."""

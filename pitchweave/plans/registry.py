@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchweave.plans import audits, cameras, cleaning, players, streams, tracks
+from pitchweave.plans import audits, build, cameras, cleaning, players, streams, tracks
 
-MODULES = [cleaning, players, cameras, tracks, streams, audits]
+MODULES = [cleaning, players, cameras, tracks, streams, audits, build]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
