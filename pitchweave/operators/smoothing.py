@@ -102,19 +102,43 @@ def motion_tracks(df: DataFrame, *, keys: list[str], frame: str, id: str, block:
 
 def assign_pairs(pairs: DataFrame, *, group: list[str], a: str, b: str, cost: str, unpaired: float) -> DataFrame:
     """(group, a, b, cost): for each group the pairs of least total cost, one to one; a pair dearer than leaving both
-    sides unpaired at ``unpaired`` each is not taken."""
-    rows = pairs.select(*group, F.col(a).alias("a_"), F.col(b).alias("b_"), F.col(cost).cast("double").alias("c_"))
+    sides unpaired at ``unpaired`` each is not taken.
+
+    Groups are small (the rivals of one frame or window) and many: sorted rows stream through, many groups a call.  Pairs
+    with a NULL side or cost are left out; of repeated pairs the cheapest counts.
+    """
+    rows = pairs.select(*group, F.col(a).alias("a_"), F.col(b).alias("b_"), F.col(cost).cast("double").alias("c_")).where("a_ is not null and b_ is not null and c_ is not null")
+    rows = rows.withColumn("g_", F.to_json(F.struct(*group)))
     fields = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in group)
+    far = 2 * unpaired
+
+    def best(g: pd.DataFrame) -> np.ndarray:
+        """Positions of the rows of one group that are taken."""
+        left, r = np.unique(g["a_"].to_numpy(), return_inverse=True)
+        right, c = np.unique(g["b_"].to_numpy(), return_inverse=True)
+        value = g["c_"].to_numpy()
+        matrix, at = np.full((len(left), len(right)), far), np.full((len(left), len(right)), -1)
+        for i in np.argsort(-value, kind="stable").tolist():
+            if value[i] < far:
+                matrix[r[i], c[i]], at[r[i], c[i]] = value[i], i
+        taken = at[assign(matrix)]
+        return taken[taken >= 0]
 
-    def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        m = g.pivot_table(index="a_", columns="b_", values="c_", aggfunc="min", sort=True)
-        far = 2 * unpaired
-        cost_ = np.where(m.isna(), far, np.minimum(m.fillna(far), far))
-        r, c = assign(cost_)
-        good = cost_[r, c] < far
-        n = int(good.sum())
-        return pd.DataFrame({**{k: [g[k].iloc[0]] * n for k in group}, "a_": m.index.to_numpy()[r[good]], "b_": m.columns.to_numpy()[c[good]], "c_": cost_[r, c][good]})
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for g in chain(batches, [None]):
+            last = g is None
+            g = rest if last else g if rest is None else pd.concat([rest, g], ignore_index=True)
+            if g is None or not len(g):
+                continue
+            names = g["g_"].to_numpy()
+            edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(g)]
+            if not last:  # the last group may go on in the next batch
+                edges, rest = edges[:-1], g.iloc[edges[-2] :]
+            taken = [lo + best(g.iloc[lo:hi]) for lo, hi in zip(edges, edges[1:])]
+            if taken:
+                yield g.iloc[np.concatenate(taken)][[*group, "a_", "b_", "c_"]]
 
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("a_", "b_")}
-    done = rows.groupBy(*group).applyInPandas(kernel, f"{fields}, a_ {kinds['a_']}, b_ {kinds['b_']}, c_ double")
+    done = rows.repartition("g_").sortWithinPartitions("g_", "a_", "b_").mapInPandas(kernel, f"{fields}, a_ {kinds['a_']}, b_ {kinds['b_']}, c_ double")
     return done.select(*group, F.col("a_").alias(a), F.col("b_").alias(b), F.col("c_").alias(cost))

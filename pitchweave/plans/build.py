@@ -7,14 +7,16 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitchweave.functions.court import KEYPOINTS, court_keypoints
 from pitchweave.operators.alignment import apply_fields, fit_fields
 from pitchweave.operators.calibration import calibrated, fit_calibrations, project_by
 from pitchweave.operators.graphs import components
 from pitchweave.operators.identity import camera_tracklets, identities, paired_views
 from pitchweave.operators.joins import mutual_nearest
+from pitchweave.operators.suppression import one_frame_each, stitch_tracks, suppress_overlaps
 from pitchweave.operators.teams import assign_teams, upper_half
 from pitchweave.plans.cameras import _pairs, boxes, grid_boxes, mutual_offsets
-from pitchweave.plans.tracks import TRACK, track_ends
+from pitchweave.plans.tracks import TRACK, spans, track_ends
 from pitchweave.session import cut
 from pitchweave.sources.tables import table
 
@@ -118,5 +120,32 @@ def built_tracks(spark: SparkSession, sf: str) -> DataFrame:
     return out.agg(F.count("*").alias("boxes"), F.round(F.sum(F.col("x") * F.col("w")) / F.sum("w"), 4).alias("x"), F.round(F.sum(F.col("y") * F.col("w")) / F.sum("w"), 4).alias("y"))
 
 
-QUERIES = {f.__name__: f for f in (camera_calibrations, calibrated_points, camera_fields, aligned_boxes, team_labels, view_tracklets, track_identities, built_tracks)}
-SQL: dict[str, str] = {}
+def placed_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Source frames of each camera on grid frames of their own; a frame that collides goes to the next one if that is near."""
+    from pitchweave.plans.cleaning import box_frames
+
+    return one_frame_each(box_frames(spark, sf).select(*CAMERA, "fid", "position"), keys=CAMERA)
+
+
+def distinct_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes of each source frame without those that overlap a surer one by over half."""
+    return suppress_overlaps(boxes(spark, sf), keys=CAMERA, frame="fid")
+
+
+def stitched_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracks joined end to start, those that need the least speed first."""
+    ends = track_ends(spark, sf).join(spans(spark, sf).select(*TRACK, "team"), TRACK, "left").join(table(spark, sf, "futsal_matches").select("match_id", "fps"), "match_id")
+    return stitch_tracks(ends)
+
+
+def court_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Named points of each match's court."""
+    return court_keypoints(table(spark, sf, "futsal_matches").dropDuplicates(["match_id"]), keys=["match_id"])
+
+
+QUERIES = {f.__name__: f for f in (camera_calibrations, calibrated_points, camera_fields, aligned_boxes, team_labels, view_tracklets, track_identities, built_tracks, placed_frames, distinct_boxes, stitched_tracks, court_points)}
+SQL = {
+    "court_points": "SELECT match_id, n.name, n.a * court_length + n.b AS x, n.c * court_width + n.d AS y FROM (SELECT DISTINCT match_id, court_length, court_width FROM futsal_matches), (VALUES "
+    + ", ".join("('{}', {}, {}, {}, {})".format(*(line.split()[:1] + [float(v) for v in line.split()[1:]])) for line in KEYPOINTS.strip().splitlines())
+    + ") n(name, a, b, c, d)",
+}
