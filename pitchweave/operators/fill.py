@@ -11,26 +11,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from pitchweave.session import cut
 
-def stand_ins(df: DataFrame, values: list[str], *, entity: list[str], share: float = 1e-3, least: int = 8) -> DataFrame:
-    """Value combinations written in place of a missing one: exact repeats in at least ``share`` of all rows.
+
+def stand_ins(df: DataFrame, values: list[str], *, entity: list[str], source: str | None = None, share: float = 1e-3, own_share: float = 5e-3, least: int = 8) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """Value combinations written in place of a missing one; with ``source`` also those that only one source uses.
 
     True measurements spread over many values, so even the favourite spot of a resting entity stays far below one in a
-    thousand rows.  A combination must be in at least ``least`` rows and two entities.  The counts are over all rows;
-    the result has at most 1 / share rows, which is the proof that it may be broadcast.
+    thousand rows.  A combination must be in at least ``least`` rows and two entities, and in ``share`` of all rows, or in
+    ``own_share`` of its source's; so a stand-in that only one source uses is found however large the table grows.  Counts are
+    over all rows.  The first has at most 1 / share rows, which is the proof that it may be broadcast.
     """
-    whole = df.select(*values, F.struct(*entity).alias("_pw_entity")).where(" and ".join(f"`{v}` is not null and not isnan(`{v}`)" for v in values))
+    present = " and ".join(f"`{v}` is not null and not isnan(`{v}`)" for v in values)
+    whole = df.where(present).select(*([source] if source else []), *values, F.xxhash64(*entity).alias("_pw_e"))
+    several = (F.col("_pw_n") >= least) & (F.col("_pw_a") != F.col("_pw_b"))
+
+    def counts(by: list[str]) -> DataFrame:  # numbers only, so that groups are hashed and not sorted
+        return whole.groupBy(*by).agg(F.count("*").alias("_pw_n"), F.min("_pw_e").alias("_pw_a"), F.max("_pw_e").alias("_pw_b")).where(several)
+
     total = whole.agg(F.count("*").alias("_pw_total")).scalar()
-    found = whole.groupBy(*values).agg(F.count("*").alias("_pw_n"), F.min("_pw_entity").alias("_pw_a"), F.max("_pw_entity").alias("_pw_b"))
-    return found.where((F.col("_pw_n") >= least) & (F.col("_pw_n") >= share * total) & (F.col("_pw_a") != F.col("_pw_b"))).select(*values)
+    everywhere = counts(values).where(F.col("_pw_n") >= share * total).select(*values)
+    if not source:
+        return everywhere
+    size = whole.groupBy(source).agg(F.count("*").alias("_pw_size"))
+    own = counts([source, *values]).join(size, source).where(F.col("_pw_n") >= own_share * F.col("_pw_size")).select(source, *values)
+    return everywhere, cut(own)
+
+
+#: Stand-ins of single sources that are broadcast at most; more are joined by shuffling.
+BROADCAST = 10_000
 
 
-def without_stand_ins(df: DataFrame, values: list[str], found: DataFrame) -> DataFrame:
+def without_stand_ins(df: DataFrame, values: list[str], found: DataFrame | tuple[DataFrame, DataFrame]) -> DataFrame:
     """``df`` with the stand-in combinations set to NULL."""
-    marks = found.select(*[F.col(v).alias(f"_pw_s{i}") for i, v in enumerate(values)], F.lit(True).alias("_pw_hit"))
-    on = [F.col(v) == F.col(f"_pw_s{i}") for i, v in enumerate(values)]
-    joined = df.join(F.broadcast(marks), on, "left")
-    return joined.select(*[(F.when(F.col("_pw_hit").isNull(), F.col(c)).alias(c) if c in values else F.col(c)) for c in df.columns])
+    everywhere, own = found if isinstance(found, tuple) else (found, None)
+    hit = F.lit(False)
+    out = df
+    for n, (marks, by) in enumerate(((everywhere, []), (own, [] if own is None else own.columns[:1]))):
+        if marks is None:
+            continue
+        if by and not (size := marks.limit(BROADCAST + 1).count()):
+            continue
+        names = {c: f"_pw_{n}_{i}" for i, c in enumerate([*by, *values])}
+        marks = marks.select(*[F.col(c).alias(a) for c, a in names.items()], F.lit(True).alias(f"_pw_hit{n}"))
+        marks = F.broadcast(marks) if not by or size <= BROADCAST else marks
+        out = out.join(marks, [F.col(c) == F.col(a) for c, a in names.items()], "left")
+        hit = hit | F.coalesce(f"_pw_hit{n}", F.lit(False))
+    return out.select(*[(F.when(~hit, F.col(c)).alias(c) if c in values else F.col(c)) for c in df.columns])
 
 
 def fill_numeric(df: DataFrame, *, keys: list[str], order: str, values: list[str], gap_limit: int = 20, block: int = 2048) -> DataFrame:

@@ -10,6 +10,7 @@ from pitchweave.functions.clock import grid_position
 from pitchweave.functions.geometry import box_covariance, inverse_3x3, jacobian, largest_eigenvalue, metres_per_pixel, overlap, project
 from pitchweave.operators.blocks import core, in_blocks, series
 from pitchweave.operators.joins import asof_versions, frame_pairs, mutual_nearest, overlapping, with_margin
+from pitchweave.operators.quantiles import exact_quantiles
 from pitchweave.sources.tables import table
 
 #: A camera above the halfway line: image to pitch, row-major; an example calibration for cameras that bring none.
@@ -119,8 +120,10 @@ def unpaired_boxes(spark: SparkSession, sf: str) -> DataFrame:
 def camera_disagreement(spark: SparkSession, sf: str) -> DataFrame:
     """Median distance and mean offset of mutual pairs by zone of 8 by 10 m, for zones with over 30 pairs."""
     rows = mutual_nearest(_pairs(spark, sf), group=["match_id", "k", "camera_a", "camera_b"], a="a", b="b", distance="d")
-    zones = rows.groupBy(F.floor(F.col("ax") / 8).cast("int").alias("zx"), F.floor(F.col("ay") / 10).cast("int").alias("zy"))
-    return zones.agg(F.count("*").alias("n"), F.round(F.median("d"), 6).alias("median_m"), F.round(F.avg(F.col("bx") - F.col("ax")), 6).alias("dx"), F.round(F.avg(F.col("by") - F.col("ay")), 6).alias("dy")).where("n > 30")
+    rows = rows.withColumns({"zx": F.floor(F.col("ax") / 8).cast("int"), "zy": F.floor(F.col("ay") / 10).cast("int")})
+    middle = exact_quantiles(rows, keys=["zx", "zy"], value="d", at={"median": 0.5}).where("n > 30").drop("n")
+    zones = rows.groupBy("zx", "zy").agg(F.count("*").alias("n"), F.round(F.avg(F.col("bx") - F.col("ax")), 6).alias("dx"), F.round(F.avg(F.col("by") - F.col("ay")), 6).alias("dy"))
+    return zones.join(middle, ["zx", "zy"]).select("zx", "zy", "n", F.round("median", 6).alias("median_m"), "dx", "dy")
 
 
 def mutual_offsets(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,7 +167,7 @@ def frame_timing(spark: SparkSession, sf: str) -> DataFrame:
     frames = table(spark, sf, "detections").groupBy("match_id", "camera", "frame").agg(F.max("t").alias("t")).where("t is not null")
     rows = in_blocks(frames, "frame", before=100_000, after=0, block=1_000_000)
     rows = core(rows.withColumn("dt", F.col("t") - F.lag("t").over(series(["match_id", "camera"], "frame")))).where("dt is not null")
-    mid = rows.groupBy("match_id", "camera").agg(F.median("dt").alias("m"))
+    mid = exact_quantiles(rows, keys=["match_id", "camera"], value="dt", at={"m": 0.5}).drop("n")
     rows = rows.join(mid, ["match_id", "camera"])
     return rows.groupBy("match_id", "camera").agg(
         F.count("*").alias("n"), F.round(F.max("m"), 6).alias("median_s"), F.round(F.max("dt"), 6).alias("longest_s"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pitchweave.functions.geometry import contains, hypot
 from pitchweave.operators.blocks import core, in_blocks, islands, pieces, series
 from pitchweave.operators.fill import stand_ins, without_stand_ins
+from pitchweave.operators.quantiles import exact_quantiles
 from pitchweave.operators.smoothing import smooth_tracks
 from pitchweave.session import cut
 from pitchweave.sources.tables import table
@@ -30,7 +31,7 @@ def on_court(spark: SparkSession, sf: str, name: str, keys: list[str]) -> DataFr
     Positions written for missing ones are learned from the table; frames before the match's start are left out.
     """
     rows = table(spark, sf, name).where("k >= 0")
-    rows = without_stand_ins(rows, ["x", "y"], stand_ins(rows, ["x", "y"], entity=keys))
+    rows = without_stand_ins(rows, ["x", "y"], stand_ins(rows, ["x", "y"], entity=keys, source="match_id"))
     court = table(spark, sf, "futsal_matches").groupBy("match_id").agg(F.max("court_length").alias("len_"), F.max("court_width").alias("wid_"))
     rows = rows.join(court, "match_id").where(contains("x", "y", "len_", "wid_", COURT_MARGIN_M))
     return rows.groupBy(*keys, "k").agg(F.min_by("x", F.struct("x", "y")).alias("x"), F.min_by("y", F.struct("x", "y")).alias("y"))
@@ -154,8 +155,10 @@ def noise_level(spark: SparkSession, sf: str) -> DataFrame:
     line = series(PLAYER, "k")
     rows = core(rows.withColumns({f"{c}{i}": F.lag(c, i).over(line) for c in ("k", "x", "y") for i in (1, 2)}))
     d = rows.where("k - k1 = 1 and k - k2 = 2").select(*PLAYER, F.explode(F.array(F.col("x") - 2 * F.col("x1") + F.col("x2"), F.col("y") - 2 * F.col("y1") + F.col("y2"))).alias("d"))
-    mid = d.groupBy(*PLAYER).agg(F.median("d").alias("m"))
-    return d.join(mid, PLAYER).groupBy(*PLAYER).agg(F.round(F.greatest(F.median(F.abs(F.col("d") - F.col("m"))) * (1.4826 / 6**0.5), F.lit(0.03)), 6).alias("noise"))
+    d = cut(d)
+    mid = exact_quantiles(d, keys=PLAYER, value="d", at={"m": 0.5}).drop("n")
+    off = d.join(mid, PLAYER).select(*PLAYER, F.abs(F.col("d") - F.col("m")).alias("e"))
+    return exact_quantiles(off, keys=PLAYER, value="e", at={"mad": 0.5}).select(*PLAYER, F.round(F.greatest(F.col("mad") * (1.4826 / 6**0.5), F.lit(0.03)), 6).alias("noise"))
 
 
 def presence_runs(spark: SparkSession, sf: str) -> DataFrame:
@@ -236,9 +239,11 @@ def court_sql(source: str, keys: str, name: str) -> str:
     """SQL of ``on_court``."""
     return f"""{name}_all AS (SELECT * FROM {source} WHERE k >= 0 AND x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)),
 {name}_fake AS (SELECT x, y FROM {name}_all GROUP BY x, y HAVING count(*) >= 8 AND count(*) >= 0.001 * (SELECT count(*) FROM {name}_all) AND count(DISTINCT ({keys})) > 1),
+{name}_own AS (SELECT match_id, x, y FROM (SELECT *, count(*) OVER (PARTITION BY match_id) size FROM {name}_all) GROUP BY match_id, x, y HAVING count(*) >= 8 AND count(*) >= 0.005 * max(size) AND count(DISTINCT ({keys})) > 1),
 {name} AS (SELECT {keys}, k, min(struct_pack(x := x, y := y)).x AS x, min(struct_pack(x := x, y := y)).y AS y
   FROM {name}_all a JOIN futsal_matches m USING (match_id) WHERE x BETWEEN -1 AND court_length + 1 AND y BETWEEN -1 AND court_width + 1
-  AND NOT EXISTS (SELECT 1 FROM {name}_fake f WHERE f.x = a.x AND f.y = a.y) GROUP BY ALL)"""
+  AND NOT EXISTS (SELECT 1 FROM {name}_fake f WHERE f.x = a.x AND f.y = a.y)
+  AND NOT EXISTS (SELECT 1 FROM {name}_own o WHERE o.match_id = a.match_id AND o.x = a.x AND o.y = a.y) GROUP BY ALL)"""
 
 
 _SEEN = court_sql("tracks", "match_id, player_id", "seen") + """,

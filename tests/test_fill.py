@@ -69,3 +69,15 @@ def test_stand_ins_are_found_by_frequency(spark):
     assert [tuple(r) for r in found.collect()] == [(-99.0, -99.0)]  # the other repeats are one entity that stands still
     assert without_stand_ins(df, ["x", "y"], found).where("x is null").count() == 20
     assert stand_ins(frame(spark, []), ["x", "y"], entity=["g"]).count() == 0
+
+
+@pytest.mark.parametrize("others", [500, 40_000])
+def test_a_stand_in_of_one_source_is_found_however_large_the_table(spark, others):
+    rng = np.random.default_rng(7)
+    rows = [("m1", int(e), float(v), 1.0) for e, v in zip(rng.integers(0, 4, 400), rng.uniform(0, 40, 400))] + [("m1", e % 4, 0.0, 0.0) for e in range(12)]
+    rows += [(f"m{2 + i % 50}", i % 4, float(v), 2.0) for i, v in enumerate(rng.uniform(0, 40, others))] + [("m2", 1, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "m string, p int, x double, y double")
+    found = stand_ins(df, ["x", "y"], entity=["m", "p"], source="m")
+    assert [tuple(r) for r in found[1].collect()] == [("m1", 0.0, 0.0)]
+    out = without_stand_ins(df, ["x", "y"], found).groupBy("m").agg(F.count(F.when(F.col("x").isNull(), 1)).alias("n")).where("n > 0").collect()
+    assert {r.m: r.n for r in out} == ({"m1": 12} if others > 500 else {"m1": 12, "m2": 1})
