@@ -19,8 +19,7 @@ def norm(a: Column) -> Column:
 
 def normalise(a: Column) -> Column:
     """The vector scaled to length 1; a zero one stays zero."""
-    n = F.greatest(norm(a), F.lit(1e-9))
-    return F.transform(a, lambda x: x.cast("double") / n)
+    return let(a, lambda v: let(F.greatest(norm(v), F.lit(1e-9)), lambda n: F.transform(v, lambda x: x.cast("double") / n)))
 
 
 def cosine(a: Column, b: Column) -> Column:

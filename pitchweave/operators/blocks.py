@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -60,6 +60,3 @@ def islands(df: DataFrame, *, keys: list[str], order: str, most: int | str, halo
     out = pieces(rows, keys=keys, order="_k", starts="_start", block=block)
     return out.groupBy(*keys, "piece").agg(F.min("_k").alias("first"), F.max("_k").alias("last"), F.count("*").alias("rows")).drop("piece")
 
-
-def by_share(numerator: Column, denominator: Column) -> Column:
-    return numerator / F.nullif(denominator, F.lit(0))

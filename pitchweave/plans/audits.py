@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pitchweave.functions.geometry import hypot
-from pitchweave.functions.vectors import cosine
+from pitchweave.functions.geometry import hypot, mahalanobis2
+from pitchweave.functions.vectors import cosine, dequantise, normalise, quantise
 from pitchweave.operators.blocks import core, in_blocks, islands, series
-from pitchweave.plans.cameras import _BOXES, _GRID, _PAIRS, _TB, _track_boxes, boxes, grid_boxes, mutual_offsets
+from pitchweave.plans.cameras import _BOXES, _GRID, _PAIRS, _TB, _pairs, _track_boxes, boxes, grid_boxes, mutual_offsets
 from pitchweave.plans.players import _SEEN, _TEAM, PLAYER, player_team, seen, with_clock
 from pitchweave.plans.tracks import _ENDS, _POINTS, TRACK, points
 from pitchweave.sources.tables import table
@@ -146,12 +146,12 @@ def colour_breaks(spark: SparkSession, sf: str) -> DataFrame:
 
 def coassignment(df: DataFrame, *, keys: list[str], a: str, b: str) -> DataFrame:
     """(keys, pairs_a, pairs_b, both, f1): agreement of two labellings of the same rows on which of them belong together."""
-    n = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*keys, a, b).agg(F.count("*").cast("double").alias("n"))
+    n = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*keys, a, b).agg(F.count("*").cast("double").alias("_n"))
 
-    def pairs(by: list[str]) -> DataFrame:
-        return n.groupBy(*keys, *by).agg(F.sum("n").alias("m")).groupBy(*keys).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("p"))
+    def pairs(by: list[str], name: str) -> DataFrame:
+        return n.groupBy(*keys, *by).agg(F.sum("_n").alias("_m")).groupBy(*keys).agg(F.sum(F.col("_m") * (F.col("_m") - 1) / 2).alias(name))
 
-    out = pairs([a]).withColumnRenamed("p", "pairs_a").join(pairs([b]).withColumnRenamed("p", "pairs_b"), keys).join(pairs([a, b]).withColumnRenamed("p", "both"), keys)
+    out = pairs([a], "pairs_a").join(pairs([b], "pairs_b"), keys).join(pairs([a, b], "both"), keys)
     return out.select(*keys, "pairs_a", "pairs_b", "both", F.round(2 * F.col("both") / F.nullif(F.col("pairs_a") + F.col("pairs_b"), F.lit(0.0)), 6).alias("f1"))
 
 
@@ -403,8 +403,32 @@ def sampled_encounters(spark: SparkSession, sf: str, step: int = 3, most: int =
     return rows.where((F.pmod("r", F.lit(step)) == 0) & (F.col("r") < step * most)).select("match_id", "a", "b", "first", "last")
 
 
+def gated_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of boxes of two cameras within 1.5 m whose distance is likely under both their errors: below 9.21 squared deviations."""
+    var = F.col("asig") ** 2 + F.col("bsig") ** 2
+    d2 = mahalanobis2(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), var, F.lit(0.0), var)
+    rows = _pairs(spark, sf).where("d < 1.5 and asig > 0 and bsig > 0").withColumn("d2", d2).where("d2 < 9.21")
+    return rows.select("match_id", "k", "a", "b", F.round("d2", 4).alias("d2"))
+
+
+def quantised_colours(spark: SparkSession, sf: str) -> DataFrame:
+    """Colour histograms as whole numbers of 255ths: their sum, and the largest error of going there and back."""
+    rows = table(spark, sf, "boxes").where("size(color) = 30").select("box_id", "color").dropDuplicates(["box_id"])
+    whole = quantise(F.col("color"))
+    error = F.array_max(F.zip_with(dequantise(whole), "color", lambda a, b: F.abs(a - b)))
+    return rows.select("box_id", F.aggregate(whole, F.lit(0), lambda s, x: s + x.cast("int")).alias("total"), F.round(error, 6).alias("error"))
+
+
+def mixed_features(spark: SparkSession, sf: str, weight: float = 0.5) -> DataFrame:
+    """Unit vectors that join a box's appearance and, at half weight, its colours: the first number of either part."""
+    rows = table(spark, sf, "boxes").where("size(color) = 30 and size(reid) = 512").select("box_id", "reid", "color").dropDuplicates(["box_id"])
+    colour = normalise(F.transform("color", lambda c: F.sqrt(F.greatest(c, F.lit(0.0)))))
+    mixed = normalise(F.concat(normalise(F.col("reid")), F.transform(colour, lambda c: weight * c)))
+    return rows.select("box_id", mixed.alias("v")).select("box_id", F.round(F.col("v")[0], 6).alias("appearance"), F.round(F.col("v")[512], 6).alias("colour"))
+
+
 _NAMES = (
-    reid_presence, image_sizes, fit_boxes, majority_team, point_team, fused_points, largest_view, point_invariants, source_summary, five_a_side, jump_events, view_support, colour_breaks,
+    gated_pairs, quantised_colours, mixed_features, reid_presence, image_sizes, fit_boxes, majority_team, point_team, fused_points, largest_view, point_invariants, source_summary, five_a_side, jump_events, view_support, colour_breaks,
     track_team_agreement, id_overlaps, position_errors, quantile_gate, alignment_summary, clock_shift, clock_fit, camera_warnings, frame_sampling, held_out_frames, blind_codes, merged_points,
     perimeter, tile_boxes, junctions, end_velocities, on_court_cap, label_runs, team_flips, match_document, clock_strings, clock_round_trip, sampled_encounters,
 )
@@ -419,6 +443,13 @@ _MUTUAL = _PAIRS + """,
 mo AS (SELECT mu.*, sqrt((p.x_raw - q.x_raw) ** 2 + (p.y_raw - q.y_raw) ** 2) raw_m FROM mu JOIN b0 p ON p.box_id = a JOIN b0 q ON q.box_id = b WHERE p.x_raw IS NOT NULL AND q.x_raw IS NOT NULL AND p.y_raw IS NOT NULL AND q.y_raw IS NOT NULL)"""
 
 SQL = {
+    "gated_pairs": f"WITH {_PAIRS} SELECT match_id, k, a, b, round(d * d / (asig ** 2 + bsig ** 2), 4) AS d2 FROM pr WHERE d < 1.5 AND asig > 0 AND bsig > 0 AND d * d / (asig ** 2 + bsig ** 2) < 9.21",
+    "quantised_colours": """SELECT DISTINCT box_id, CAST(list_sum(list_transform(color, lambda c: round_even(c * 255, 0))) AS INT) AS total,
+  round(list_max(list_transform(color, lambda c: abs(round_even(c * 255, 0) / 255 - c))), 6) AS error FROM boxes WHERE len(color) = 30""",
+    "mixed_features": """WITH b AS (SELECT DISTINCT ON (box_id) box_id, reid, list_transform(color, lambda c: sqrt(greatest(c, 0))) c FROM boxes WHERE len(color) = 30 AND len(reid) = 512),
+n AS (SELECT *, greatest(sqrt(list_sum(list_transform(reid, lambda r: CAST(r AS DOUBLE) * r))), 1e-9) nr, greatest(sqrt(list_sum(list_transform(c, lambda x: x * x))), 1e-9) nc FROM b),
+m AS (SELECT *, greatest(sqrt(list_sum(list_transform(reid, lambda r: (r / nr) * (r / nr))) + 0.25 * list_sum(list_transform(c, lambda x: (x / nc) * (x / nc)))), 1e-9) nm FROM n)
+SELECT box_id, round(reid[1] / nr / nm, 6) AS appearance, round(0.5 * c[1] / nc / nm, 6) AS colour FROM m""",
     "reid_presence": """WITH d AS (SELECT match_id, camera, count(DISTINCT box_id) n, bool_or(reid IS NOT NULL) r FROM detections GROUP BY ALL),
 c AS (SELECT DISTINCT match_id, camera FROM camera_sync)
 SELECT match_id, count(*) AS cameras, min(coalesce(n, 0)) AS fewest, bool_and(coalesce(n > 0 AND r, FALSE)) AS has_reid FROM c LEFT JOIN d USING (match_id, camera) GROUP BY ALL""",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pitchweave.functions.court import KEYPOINTS, court_keypoints
 from pitchweave.operators.alignment import apply_fields, fit_fields
+from pitchweave.operators.appearance import look_changes, look_distance, look_groups, track_looks
 from pitchweave.operators.calibration import calibrated, fit_calibrations, project_by
 from pitchweave.operators.graphs import components
 from pitchweave.operators.identity import camera_tracklets, identities, paired_views
@@ -138,12 +139,43 @@ def stitched_tracks(spark: SparkSession, sf: str) -> DataFrame:
     return stitch_tracks(ends)
 
 
+def _colours(spark: SparkSession, sf: str) -> DataFrame:
+    """Colour roots of the boxes of each track point."""
+    from pitchweave.plans.cameras import _track_boxes
+
+    roots = F.transform("color", lambda c: F.sqrt(F.greatest(c, F.lit(0.0))))
+    colour = table(spark, sf, "boxes").where("size(color) = 30 and h >= 40").select("box_id", roots.alias("v")).dropDuplicates(["box_id"])
+    return _track_boxes(spark, sf).join(colour, "box_id").select(*TRACK, "k", "v")
+
+
+def track_appearance(spark: SparkSession, sf: str) -> DataFrame:
+    """How each track looks: views, spread, and the group of tracks of its match that look alike (ten at most)."""
+    looks = cut(track_looks(_colours(spark, sf), keys=TRACK, order="k", vector="v"))
+    groups = look_groups(looks, match="match_id", id="track_id", groups=10)
+    return looks.join(groups, TRACK).select(*TRACK, "n", F.size("medoids").alias("medoids"), F.round("spread", 6).alias("spread"), "look")
+
+
+def look_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """Distance of the looks of two tracks of a match that a player could have gone between."""
+    from pitchweave.plans.tracks import relink_candidates
+
+    looks = cut(track_looks(_colours(spark, sf), keys=TRACK, order="k", vector="v"))
+    a, b = (looks.select("match_id", F.col("track_id").alias(s), F.col("mean").alias(f"m{s}"), F.col("medoids").alias(f"t{s}")) for s in "ab")
+    pairs = relink_candidates(spark, sf).join(a, ["match_id", "a"], "left").join(b, ["match_id", "b"], "left")
+    return pairs.select("match_id", "a", "b", "gap", F.round(look_distance("ma", "mb", "ta", "tb"), 6).alias("distance"))
+
+
+def look_stretches(spark: SparkSession, sf: str) -> DataFrame:
+    """Stretches of each track in which it looks alike."""
+    return look_changes(_colours(spark, sf), keys=TRACK, order="k", vector="v")
+
+
 def court_points(spark: SparkSession, sf: str) -> DataFrame:
     """Named points of each match's court."""
     return court_keypoints(table(spark, sf, "futsal_matches").dropDuplicates(["match_id"]), keys=["match_id"])
 
 
-QUERIES = {f.__name__: f for f in (camera_calibrations, calibrated_points, camera_fields, aligned_boxes, team_labels, view_tracklets, track_identities, built_tracks, placed_frames, distinct_boxes, stitched_tracks, court_points)}
+QUERIES = {f.__name__: f for f in (camera_calibrations, calibrated_points, camera_fields, aligned_boxes, team_labels, view_tracklets, track_identities, built_tracks, placed_frames, distinct_boxes, stitched_tracks, track_appearance, look_distances, look_stretches, court_points)}
 SQL = {
     "court_points": "SELECT match_id, n.name, n.a * court_length + n.b AS x, n.c * court_width + n.d AS y FROM (SELECT DISTINCT match_id, court_length, court_width FROM futsal_matches), (VALUES "
     + ", ".join("('{}', {}, {}, {}, {})".format(*(line.split()[:1] + [float(v) for v in line.split()[1:]])) for line in KEYPOINTS.strip().splitlines())
