@@ -19,10 +19,11 @@ def smooth_tracks(df: DataFrame, *, keys: list[str], order: str, dt: str, method
     """(keys, order, x, y): positions on every frame between a block's first and last row, smoothed by a Kalman smoother
     (gaps of more than ``gap_s`` NULL) or by local polynomials (``method`` "polynomial", seen frames only).
 
-    ``df`` has x, y and the frame interval ``dt`` in seconds.  Blocks carry ``halo`` frames of context, after which both
+    ``df`` has x, y and the frame interval ``dt`` in seconds; with ``method`` "gated" also ``var``, each position's own variance,
+    and positions that are far off their track count less.  Blocks carry ``halo`` frames of context, after which both
     smoothers have forgotten what came before.
     """
-    rows = in_blocks(df.select(*keys, F.col(order).cast("bigint").alias("k_"), "x", "y", F.col(dt).alias("dt_")).where("k_ is not null"), "k_", before=halo, after=halo, block=block)
+    rows = in_blocks(df.select(*keys, F.col(order).cast("bigint").alias("k_"), "x", "y", F.col("var" if method == "gated" else "x").cast("double").alias("var_"), F.col(dt).alias("dt_")).where("k_ is not null"), "k_", before=halo, after=halo, block=block)
     fields = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def kernel(g: pd.DataFrame) -> pd.DataFrame:
@@ -32,15 +33,20 @@ def smooth_tracks(df: DataFrame, *, keys: list[str], order: str, dt: str, method
         if not len(own):
             return g[[*keys, "k_", "x", "y"]].iloc[:0]
         grid = {}
-        for c in ("x", "y"):
+        for c in ("x", "y", "var_"):
             v = np.full(k[-1] - k[0] + 1, np.nan)
             v[k - k[0]] = g[c].to_numpy(float)
             grid[c] = v
+        var = grid.pop("var_")
         seen = np.isfinite(grid["x"]) & np.isfinite(grid["y"])
         out = {}
         for c, v in grid.items():
             v = np.where(seen, v, np.nan)
-            out[c] = blank_long_gaps(smooth_positions(v, dt_), seen, int(gap_s / dt_)) if method == "kalman" else local_polynomial(v)
+            if method == "polynomial":
+                out[c] = local_polynomial(v)
+                continue
+            smooth = smooth_positions(v, dt_) if method == "kalman" else smooth_positions(v, dt_, 4.0, var, 9.21, 3.0)
+            out[c] = blank_long_gaps(smooth, seen, int(gap_s / dt_))
         at = np.arange(k[0], k[-1] + 1)
         inside = (at >= blk * block) & (at < (blk + 1) * block)
         n = int(inside.sum())

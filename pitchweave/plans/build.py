@@ -14,6 +14,7 @@ from pitchweave.operators.calibration import calibrated, fit_calibrations, proje
 from pitchweave.operators.graphs import components
 from pitchweave.operators.identity import camera_tracklets, identities, paired_views
 from pitchweave.operators.joins import mutual_nearest
+from pitchweave.operators.smoothing import smooth_tracks
 from pitchweave.operators.suppression import one_frame_each, stitch_tracks, suppress_overlaps
 from pitchweave.operators.teams import assign_teams, upper_half
 from pitchweave.plans.cameras import _pairs, boxes, grid_boxes, mutual_offsets
@@ -170,12 +171,21 @@ def look_stretches(spark: SparkSession, sf: str) -> DataFrame:
     return look_changes(_colours(spark, sf), keys=TRACK, order="k", vector="v")
 
 
+def refined_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Track positions fused from boxes and smoothed by their own variances; gaps of up to three seconds are bridged."""
+    from pitchweave.plans.audits import fused_points
+
+    rows = fused_points(spark, sf).join(table(spark, sf, "futsal_matches").select("match_id", (1 / F.col("fps")).alias("dt")), "match_id")
+    out = smooth_tracks(rows, keys=TRACK, order="k", dt="dt", method="gated", gap_s=3.0)
+    return out.select(*TRACK, "k", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
 def court_points(spark: SparkSession, sf: str) -> DataFrame:
     """Named points of each match's court."""
     return court_keypoints(table(spark, sf, "futsal_matches").dropDuplicates(["match_id"]), keys=["match_id"])
 
 
-QUERIES = {f.__name__: f for f in (camera_calibrations, calibrated_points, camera_fields, aligned_boxes, team_labels, view_tracklets, track_identities, built_tracks, placed_frames, distinct_boxes, stitched_tracks, track_appearance, look_distances, look_stretches, court_points)}
+QUERIES = {f.__name__: f for f in (camera_calibrations, calibrated_points, camera_fields, aligned_boxes, team_labels, view_tracklets, track_identities, built_tracks, placed_frames, distinct_boxes, stitched_tracks, track_appearance, look_distances, look_stretches, refined_tracks, court_points)}
 SQL = {
     "court_points": "SELECT match_id, n.name, n.a * court_length + n.b AS x, n.c * court_width + n.d AS y FROM (SELECT DISTINCT match_id, court_length, court_width FROM futsal_matches), (VALUES "
     + ", ".join("('{}', {}, {}, {}, {})".format(*(line.split()[:1] + [float(v) for v in line.split()[1:]])) for line in KEYPOINTS.strip().splitlines())
