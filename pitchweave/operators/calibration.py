@@ -53,6 +53,37 @@ def shifted_by(h: Column, dx: Column, dy: Column) -> Column:
     return F.array(*[h[3 * r + c] if c < 2 else h[3 * r + 2] - h[3 * r] * dx - h[3 * r + 1] * dy for r in range(3) for c in range(3)])
 
 
+def inverse_by(h: Column) -> Column:
+    """Inverse of the row-major matrix in an array column, scaled so that its last entry is 1; NULL where it has none."""
+    a, b, c, d, e, f, g, i, j = (h[n] for n in range(9))
+    adj = [e * j - f * i, c * i - b * j, b * f - c * e, f * g - d * j, a * j - c * g, c * d - a * f, d * i - e * g, b * g - a * i, a * e - b * d]
+    last = F.nullif(adj[8], F.lit(0.0))
+    return F.when(last.isNotNull(), F.array(*[x / last for x in adj]))
+
+
+def framing(calibrations: DataFrame, courts: DataFrame, *, keys: list[str], cell: float = 1.0) -> DataFrame:
+    """(keys, cells, seen, left, right, above, below, mpp): how much of its court each camera has in its image.
+
+    ``calibrations`` has keys, h, width and height in pixels; ``courts`` has the first key, length and width of the court in
+    metres as court_length and court_width.  A cell is seen if its centre is in the image; else it counts by where it lies
+    (beside the image before above or below it).  ``mpp`` is the median ground distance of a pixel over the seen cells.
+    """
+    from pitchweave.functions.geometry import hypot
+
+    grid = courts.select(keys[0], F.explode(F.sequence(F.lit(0), F.ceil(F.col("court_length") / cell).cast("int") - 1)).alias("cx"), "court_length", "court_width")
+    grid = grid.withColumn("cy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("court_width") / cell).cast("int") - 1)))
+    x, y = (F.col("cx") + 0.5) * cell, (F.col("cy") + 0.5) * cell
+    rows = calibrations.withColumn("inv", inverse_by(F.col("h"))).where("inv is not null").join(grid.select(keys[0], x.alias("x"), y.alias("y")), keys[0])
+    u, v = project_by(F.col("inv"), F.col("x"), F.col("y"))
+    rows = rows.withColumns({"u": u, "v": v})
+    px, py = project_by(F.col("h"), F.col("u") + 1, F.col("v"))
+    qx, qy = project_by(F.col("h"), F.col("u"), F.col("v") + 1)
+    scale = F.greatest(hypot(px - F.col("x"), py - F.col("y")), hypot(qx - F.col("x"), qy - F.col("y")))
+    side = F.when(F.col("u") < 0, "left").when(F.col("u") >= F.col("width"), "right").when(F.col("v") < 0, "above").when(F.col("v") >= F.col("height"), "below").otherwise("seen")
+    rows = rows.withColumn("side", side).withColumn("mpp", F.when(F.col("side") == "seen", scale))
+    return rows.groupBy(*keys).agg(F.count("*").alias("cells"), *[F.count(F.when(F.col("side") == s, 1)).alias(s) for s in ("seen", "left", "right", "above", "below")], F.percentile("mpp", 0.5).alias("mpp"))
+
+
 def calibrated(rows: DataFrame, calibrations: DataFrame, *, keys: list[str], missing: str = "error") -> DataFrame:
     """``rows`` with the calibration of their camera.  Cameras without one are an error, or left out with ``missing="skip"``."""
     if missing == "error":

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pitchweave.functions.court import KEYPOINTS, court_keypoints
 from pitchweave.operators.alignment import apply_fields, fit_fields
 from pitchweave.operators.appearance import look_changes, look_distance, look_groups, track_looks
-from pitchweave.operators.calibration import calibrated, fit_calibrations, project_by
+from pitchweave.operators.calibration import calibrated, fit_calibrations, framing, project_by
 from pitchweave.operators.graphs import components
 from pitchweave.operators.identity import camera_tracklets, identities, paired_views
 from pitchweave.operators.joins import mutual_nearest
@@ -43,6 +43,16 @@ def calibrated_points(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(*CAMERA, "box_id", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
 
 
+def camera_framing(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of its court each camera has in its image, and in which direction the rest lies."""
+    from pitchweave.plans.audits import image_sizes
+
+    rows = calibrations(spark, sf).join(image_sizes(spark, sf), CAMERA)
+    courts = table(spark, sf, "futsal_matches").dropDuplicates(["match_id"])
+    out = framing(rows, courts, keys=CAMERA)
+    return out.select(*CAMERA, "cells", "seen", "left", "right", "above", "below", F.round("mpp", 6).alias("mpp"))
+
+
 def _fields(spark: SparkSession, sf: str) -> DataFrame:
     court = table(spark, sf, "futsal_matches").select("match_id", F.col("court_length").alias("length"), F.col("court_width").alias("width"))
     rows = mutual_offsets(spark, sf).select("match_id", F.col("rax").alias("ax"), F.col("ray").alias("ay"), F.col("rbx").alias("bx"), F.col("rby").alias("by"))
@@ -185,7 +195,7 @@ def court_points(spark: SparkSession, sf: str) -> DataFrame:
     return court_keypoints(table(spark, sf, "futsal_matches").dropDuplicates(["match_id"]), keys=["match_id"])
 
 
-QUERIES = {f.__name__: f for f in (camera_calibrations, calibrated_points, camera_fields, aligned_boxes, team_labels, view_tracklets, track_identities, built_tracks, placed_frames, distinct_boxes, stitched_tracks, track_appearance, look_distances, look_stretches, refined_tracks, court_points)}
+QUERIES = {f.__name__: f for f in (camera_calibrations, calibrated_points, camera_framing, camera_fields, aligned_boxes, team_labels, view_tracklets, track_identities, built_tracks, placed_frames, distinct_boxes, stitched_tracks, track_appearance, look_distances, look_stretches, refined_tracks, court_points)}
 SQL = {
     "court_points": "SELECT match_id, n.name, n.a * court_length + n.b AS x, n.c * court_width + n.d AS y FROM (SELECT DISTINCT match_id, court_length, court_width FROM futsal_matches), (VALUES "
     + ", ".join("('{}', {}, {}, {}, {})".format(*(line.split()[:1] + [float(v) for v in line.split()[1:]])) for line in KEYPOINTS.strip().splitlines())

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitchweave.operators.alignment import apply_fields, fit_fields
-from pitchweave.operators.calibration import calibrated, fit_calibrations, moves_timeline, project_by, shifted_by
+from pitchweave.operators.calibration import calibrated, fit_calibrations, framing, inverse_by, moves_timeline, project_by, shifted_by
 from pitchweave.operators.identity import LinkParams, TrackletParams, TrackletBuilder, camera_tracklets, expanded_overlap, identities, link_pieces, paired_views
 from pitchweave.operators.teams import assign_teams
 
@@ -169,3 +169,13 @@ def test_windows_are_chained(spark):
     out = identities(df, params=LinkParams(window_s=120.0, overlap_s=40.0)).toPandas()
     own = out[out.match_id == "m"]
     assert len(own) == 160 and (own.identity == own.piece // 1000 * 1000).all() and len(out) == 161
+
+
+def test_what_a_camera_has_in_its_image(spark):
+    h = (np.diag([0.02, 0.02, 1.0])).ravel().tolist()  # 50 pixels a metre, no perspective
+    cal = spark.createDataFrame([("m", "cam1", h, 1000, 1000), ("m", "cam2", [0.0] * 9, 10, 10)], "match_id string, camera string, h array<double>, width int, height int")
+    courts = spark.createDataFrame([("m", 40.0, 20.0)], "match_id string, court_length double, court_width double")
+    (r,) = framing(cal, courts, keys=["match_id", "camera"]).collect()
+    assert (r.camera, r.cells, r.seen, r.left, r.right, r.above, r.below) == ("cam1", 800, 400, 0, 400, 0, 0) and r.mpp == pytest.approx(0.02)
+    back = spark.createDataFrame([(H.ravel().tolist(),)], "h array<double>").select(inverse_by(F.col("h"))).first()[0]
+    assert np.allclose(np.array(back).reshape(3, 3) @ H / (np.array(back).reshape(3, 3) @ H)[2, 2], np.eye(3), atol=1e-6)
