@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pitchweave.functions.geometry import hypot, mahalanobis2
+from pitchweave.functions.clock import camera_time, reference_time
+from pitchweave.functions.geometry import clipped, hue_of, hypot, mahalanobis2
 from pitchweave.functions.vectors import cosine, dequantise, normalise, quantise
-from pitchweave.operators.blocks import core, in_blocks, islands, series
-from pitchweave.plans.cameras import _BOXES, _GRID, _PAIRS, _TB, _pairs, _track_boxes, boxes, grid_boxes, mutual_offsets
-from pitchweave.plans.players import _SEEN, _TEAM, PLAYER, player_team, seen, with_clock
-from pitchweave.plans.tracks import _ENDS, _POINTS, TRACK, points
+from pitchweave.operators.blocks import core, in_blocks, islands, pieces, series
+from pitchweave.operators.joins import band_join
+from pitchweave.plans.cameras import _BOXES, boxes, clean_boxes, frame_timing, _GRID, grid_boxes, mutual_offsets, _PAIRS, _pairs, _TB, _track_boxes
+from pitchweave.plans.cleaning import box_frames
+from pitchweave.plans.players import encounters, PLAYER, player_team, _SEEN, seen, _TEAM, with_clock
+from pitchweave.plans.tracks import _ENDS, _POINTS, points, state_jumps, TRACK, track_ends
 from pitchweave.sources.tables import table
 
 FULL_HD, ULTRA_HD = (1920, 1080), (3840, 2160)
@@ -40,8 +43,6 @@ def image_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 def fit_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """``clean_boxes`` that also keep a fiftieth of the image's width from every edge but the top one."""
-    from pitchweave.plans.cameras import clean_boxes
-
     rows = boxes(spark, sf).select("match_id", "camera", "box_id", "x1", "x2", "y2").join(image_sizes(spark, sf), ["match_id", "camera"])
     edge = 0.02 * F.col("width")
     inside = (F.col("x1") >= edge) & (F.col("x2") <= F.col("width") - edge) & (F.col("y2") <= F.col("height") - edge)
@@ -118,8 +119,6 @@ def five_a_side(spark: SparkSession, sf: str) -> DataFrame:
 
 def jump_events(spark: SparkSession, sf: str) -> DataFrame:
     """Stretches of consecutive states whose velocity differs by over 6 m/s from the one five frames before: one event each."""
-    from pitchweave.plans.tracks import state_jumps
-
     return islands(state_jumps(spark, sf).select(*TRACK, "k"), keys=TRACK, order="k", most=1)
 
 
@@ -210,8 +209,6 @@ def clock_shift(spark: SparkSession, sf: str, most: int = 5) -> DataFrame:
 
 def clock_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Linear clock of each camera's grid frames against its own clock: residuals beyond three scatters left out, with the error of the offset."""
-    from pitchweave.plans.cleaning import box_frames
-
     rows = box_frames(spark, sf).where("position is not null").select("match_id", "camera", "fid", "t", (F.rint("position") / F.col("fps") + F.col("start_s") - F.col("t")).alias("d"))
     key = ["match_id", "camera"]
     mid = rows.groupBy(*key).agg(F.median("d").alias("m"))
@@ -224,8 +221,6 @@ def clock_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 def camera_warnings(spark: SparkSession, sf: str) -> DataFrame:
     """What is wrong with each camera: small or upright image, irregular frames, dropped frames, drift, an odd name."""
-    from pitchweave.plans.cameras import frame_timing
-
     sync = table(spark, sf, "camera_sync").groupBy("match_id", "camera").agg(F.max(F.coalesce("drift", F.lit(0.0))).alias("drift"))
     rows = sync.join(image_sizes(spark, sf), ["match_id", "camera"], "left").join(frame_timing(spark, sf), ["match_id", "camera"], "left")
     rules = [("upright", F.col("height") > F.col("width")), ("small", F.col("height") < FULL_HD[1]), ("irregular", F.col("irregular") > 0.05), ("dropped", F.col("dropped") > 0), ("drift", F.abs("drift") > 300e-6), ("no boxes", F.col("width").isNull()), ("name", ~F.col("camera").rlike("^cam[0-9]+$"))]
@@ -235,15 +230,13 @@ def camera_warnings(spark: SparkSession, sf: str) -> DataFrame:
 def frame_sampling(spark: SparkSession, sf: str, rate_hz: float = 2.0, every: int = 3) -> DataFrame:
     """Frames sampled at about two a second, and every third of these for appearance; frames count from 0 in each camera."""
     frames = table(spark, sf, "detections").groupBy("match_id", "camera", "frame").agg(F.max("t").alias("t"))
-    fps = table(spark, sf, "futsal_matches").select("match_id", F.greatest(F.rint(F.col("fps") / rate_hz), F.lit(1.0)).cast("int").alias("stride"))
+    fps = table(spark, sf, "futsal_matches").select("match_id", F.greatest(F.rint(F.col("fps") / rate_hz), F.lit(1.0)).try_cast("int").alias("stride"))
     rows = frames.join(fps, "match_id").where(F.pmod("frame", "stride") == 0)
     return rows.select("match_id", "camera", "frame", (F.pmod(F.floor(F.col("frame") / F.col("stride")), F.lit(every)) == 0).alias("appearance"))
 
 
 def held_out_frames(spark: SparkSession, sf: str, share: float = 0.2) -> DataFrame:
     """Frames of each camera, the last fifth of them for validation."""
-    from pitchweave.operators.blocks import pieces
-
     rows = table(spark, sf, "detections").select("match_id", "camera", "frame").distinct().withColumn("one", F.lit(True))
     rows = pieces(rows, keys=["match_id", "camera"], order="frame", starts="one")
     total = rows.groupBy("match_id", "camera").agg(F.count("*").alias("n"))
@@ -285,8 +278,6 @@ def tile_boxes(spark: SparkSession, sf: str, tile: int = 640, overlap: float = 0
 
     Tiles lie ``tile * (1 - overlap)`` apart, the last one flush with the edge.  A box is only sent to the tiles it touches.
     """
-    from pitchweave.functions.geometry import clipped
-
     def origins(size: int) -> list[int]:
         stride = int(tile * (1 - overlap))
         return [*range(0, max(size - tile, 0), stride), max(size - tile, 0)]
@@ -302,13 +293,9 @@ def tile_boxes(spark: SparkSession, sf: str, tile: int = 640, overlap: float = 0
 
 def junctions(spark: SparkSession, sf: str) -> DataFrame:
     """Where the boxes of a camera pass from one track to another within a metre and ten frames: the last of one, the first of the next."""
-    from pitchweave.plans.tracks import track_ends
-
     ends = track_ends(spark, sf)
     a = ends.select("match_id", F.col("track_id").alias("a"), F.col("last").alias("ak"), "lx", "ly")
     b = ends.select("match_id", F.col("track_id").alias("b"), F.col("first").alias("bk"), "fx", "fy")
-    from pitchweave.operators.joins import band_join
-
     pairs = band_join(a, b, keys=["match_id"], left_at="ak", right_at="bk", least=-5, most=10).where("a <> b")
     d = hypot(F.col("fx") - F.col("lx"), F.col("fy") - F.col("ly"))
     one = pairs.withColumn("d", d).where("d <= 1.0")
@@ -337,8 +324,6 @@ def on_court_cap(spark: SparkSession, sf: str, most: int = 5) -> DataFrame:
 
 def label_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of one team label in each player's rows; a new run starts where the label changes or over three frames are missing."""
-    from pitchweave.operators.blocks import pieces
-
     rows = table(spark, sf, "tracks").groupBy(*PLAYER, "k").agg(F.coalesce(F.min(F.when(F.col("team").isin("A", "B"), F.col("team"))), F.lit("")).alias("label"))
     rows = in_blocks(rows, "k", before=4, after=0)
     line = series(PLAYER, "k")
@@ -350,8 +335,6 @@ def label_runs(spark: SparkSession, sf: str) -> DataFrame:
 def team_flips(spark: SparkSession, sf: str, run: int = 15) -> DataFrame:
     """Where a player's label most clearly changes from one team to the other: the share before and after of 15 labelled rows each."""
     rows = table(spark, sf, "tracks").where("team in ('A', 'B')").groupBy(*PLAYER, "k").agg(F.min(F.when(F.col("team") == "A", 1.0).otherwise(0.0)).alias("is_a"))
-    from pitchweave.operators.blocks import pieces
-
     rows = pieces(rows.withColumn("one", F.lit(True)), keys=PLAYER, order="k", starts="one").withColumnRenamed("piece", "i")
     near = in_blocks(rows, "i", before=run, after=run)
     line = series(PLAYER, "i")
@@ -375,8 +358,6 @@ def match_document(spark: SparkSession, sf: str) -> DataFrame:
 
 def clock_strings(spark: SparkSession, sf: str) -> DataFrame:
     """First sighting of each player as m:ss.s, and the hue their number is drawn in."""
-    from pitchweave.functions.geometry import hue_of
-
     rows = with_clock(spark, sf, seen(spark, sf).groupBy(*PLAYER).agg(F.min("k").alias("k")))
     t = F.col("k") / F.col("fps")
     tenths = F.floor(t * 10 + 0.5)
@@ -386,8 +367,6 @@ def clock_strings(spark: SparkSession, sf: str) -> DataFrame:
 
 def clock_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Reference time of each detection frame, and its camera time back from it."""
-    from pitchweave.functions.clock import camera_time, reference_time
-
     frames = table(spark, sf, "detections").groupBy("match_id", "camera", "frame").agg(F.max("t").alias("t")).where("t is not null")
     sync = table(spark, sf, "camera_sync").groupBy("match_id", "camera").agg(F.max("offset_s").alias("offset_s"), F.max("drift").alias("drift"))
     rows = frames.join(sync, ["match_id", "camera"]).withColumn("ref", reference_time("t", "offset_s", "drift"))
@@ -396,8 +375,6 @@ def clock_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 def sampled_encounters(spark: SparkSession, sf: str, step: int = 3, most: int = 10) -> DataFrame:
     """Every third encounter of each match, ten at most, for review by eye."""
-    from pitchweave.plans.players import encounters
-
     order = W.partitionBy("match_id").orderBy("first", "a", "b")
     rows = encounters(spark, sf).withColumn("r", F.row_number().over(order) - 1)
     return rows.where((F.pmod("r", F.lit(step)) == 0) & (F.col("r") < step * most)).select("match_id", "a", "b", "first", "last")

@@ -7,7 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchweave.functions.court import KEYPOINTS, court_keypoints
+from pitchweave.functions.court import court_keypoints, KEYPOINTS
 from pitchweave.operators.alignment import apply_fields, fit_fields
 from pitchweave.operators.appearance import look_changes, look_distance, look_groups, track_looks
 from pitchweave.operators.calibration import calibrated, fit_calibrations, framing, project_by
@@ -17,8 +17,10 @@ from pitchweave.operators.joins import mutual_nearest
 from pitchweave.operators.smoothing import smooth_tracks
 from pitchweave.operators.suppression import one_frame_each, stitch_tracks, suppress_overlaps
 from pitchweave.operators.teams import assign_teams, upper_half
-from pitchweave.plans.cameras import _pairs, boxes, grid_boxes, mutual_offsets
-from pitchweave.plans.tracks import TRACK, spans, track_ends
+from pitchweave.plans.audits import fused_points, image_sizes
+from pitchweave.plans.cameras import boxes, grid_boxes, mutual_offsets, _pairs, _track_boxes
+from pitchweave.plans.cleaning import box_frames
+from pitchweave.plans.tracks import relink_candidates, spans, TRACK, track_ends
 from pitchweave.session import cut
 from pitchweave.sources.tables import table
 
@@ -45,8 +47,6 @@ def calibrated_points(spark: SparkSession, sf: str) -> DataFrame:
 
 def camera_framing(spark: SparkSession, sf: str) -> DataFrame:
     """How much of its court each camera has in its image, and in which direction the rest lies."""
-    from pitchweave.plans.audits import image_sizes
-
     rows = calibrations(spark, sf).join(image_sizes(spark, sf), CAMERA)
     courts = table(spark, sf, "futsal_matches").dropDuplicates(["match_id"])
     out = framing(rows, courts, keys=CAMERA)
@@ -134,8 +134,6 @@ def built_tracks(spark: SparkSession, sf: str) -> DataFrame:
 
 def placed_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Source frames of each camera on grid frames of their own; a frame that collides goes to the next one if that is near."""
-    from pitchweave.plans.cleaning import box_frames
-
     return one_frame_each(box_frames(spark, sf).select(*CAMERA, "fid", "position"), keys=CAMERA)
 
 
@@ -152,8 +150,6 @@ def stitched_tracks(spark: SparkSession, sf: str) -> DataFrame:
 
 def _colours(spark: SparkSession, sf: str) -> DataFrame:
     """Colour roots of the boxes of each track point."""
-    from pitchweave.plans.cameras import _track_boxes
-
     roots = F.transform("color", lambda c: F.sqrt(F.greatest(c, F.lit(0.0))))
     colour = table(spark, sf, "boxes").where("size(color) = 30 and h >= 40").select("box_id", roots.alias("v")).dropDuplicates(["box_id"])
     return _track_boxes(spark, sf).join(colour, "box_id").select(*TRACK, "k", "v")
@@ -168,8 +164,6 @@ def track_appearance(spark: SparkSession, sf: str) -> DataFrame:
 
 def look_distances(spark: SparkSession, sf: str) -> DataFrame:
     """Distance of the looks of two tracks of a match that a player could have gone between."""
-    from pitchweave.plans.tracks import relink_candidates
-
     looks = cut(track_looks(_colours(spark, sf), keys=TRACK, order="k", vector="v"))
     a, b = (looks.select("match_id", F.col("track_id").alias(s), F.col("mean").alias(f"m{s}"), F.col("medoids").alias(f"t{s}")) for s in "ab")
     pairs = relink_candidates(spark, sf).join(a, ["match_id", "a"], "left").join(b, ["match_id", "b"], "left")
@@ -183,8 +177,6 @@ def look_stretches(spark: SparkSession, sf: str) -> DataFrame:
 
 def refined_tracks(spark: SparkSession, sf: str) -> DataFrame:
     """Track positions fused from boxes and smoothed by their own variances; gaps of up to three seconds are bridged."""
-    from pitchweave.plans.audits import fused_points
-
     rows = fused_points(spark, sf).join(table(spark, sf, "futsal_matches").select("match_id", (1 / F.col("fps")).alias("dt")), "match_id")
     out = smooth_tracks(rows, keys=TRACK, order="k", dt="dt", method="gated", gap_s=3.0)
     return out.select(*TRACK, "k", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))

@@ -68,7 +68,7 @@ def speeds(spark: SparkSession, sf: str) -> DataFrame:
 def _speeds_of(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
     """Two equi-joins on the frame; each moves a row to the frame whose speed it takes part in."""
     rows = with_clock(spark, sf, rows)
-    n = F.greatest(F.rint(F.col("fps") * SPAN_S), F.lit(1.0)).cast("int")
+    n = F.greatest(F.rint(F.col("fps") * SPAN_S), F.lit(1.0)).try_cast("int")
     back = F.floor(n / 2)
     a = rows.select(*PLAYER, (F.col("k") + back).cast("bigint").alias("k"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = rows.select(*PLAYER, (F.col("k") + back - n).cast("bigint").alias("k"), F.col("x").alias("bx"), F.col("y").alias("by"))
