@@ -3,8 +3,8 @@
 A word that looks garbled is encoded again under a legacy encoding and strictly decoded as the intended one, layer by
 layer, as long as a garbling cost drops.  Finding uses a cost by classes: neighbours that no orthography has, such as
 capitals after small letters, symbols inside words, two scripts in a word, runs of accented letters, controls.
-Restoring also uses how often two characters stand side by side in the corpus, counted on a bounded sample of its clean
-texts; and the words of a page vote on the layers, as a page was read wrongly as a whole or in a few parts.
+Restoring also uses how often two characters stand side by side in the corpus, counted on all of its clean texts; and
+the words of a page vote on the layers, as a page was read wrongly as a whole or in a few parts.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ DROP, SHARE, LINE_DROP = 2.0, 0.6, 1.0
 REMEMBERED = 300_000
 #: What a page's words must gain together for each layer, and more for one in which all bytes are valid.
 LAYER, LOOSE = 2.0, 3.0
-#: Texts that letter statistics are counted on; layers of a word followed at once.
-SAMPLE, BEAM = 8_192, 4
+#: Layers of a word followed at once.
+BEAM = 4
 
 
 class _Classes(dict):
@@ -311,12 +311,9 @@ def repair_text(text: str, letters: Letters | None = None) -> tuple[bool, str, b
     return True, fixed, not doubtful and fixed != text and not is_garbled(fixed)
 
 
-def letter_statistics(df: DataFrame, *, text: str = "text", sample: int = SAMPLE) -> Letters:
-    """Pairs of neighbouring characters in about ``sample`` of the texts, drawn at random; those found garbled are left out."""
+def letter_statistics(df: DataFrame, *, text: str = "text") -> Letters:
+    """Pairs of neighbouring characters in all texts but those found garbled; the driver gets one row for each pair."""
     rows = df.where(F.col(text).isNotNull()).select(F.col(text).cast("string").alias("t"))
-    n = rows.count()
-    if n > sample:
-        rows = rows.where(F.rand(7) < sample / n)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: Counter = Counter()

@@ -110,6 +110,13 @@ def test_statistics_leave_garbled_texts_out(spark):
     assert not letter_statistics(spark.createDataFrame([], "doc_id long, text string")).pair
 
 
+def test_statistics_are_those_of_all_texts(spark):
+    texts = [f"{CLEAN[i % 4]} {i}" for i in range(9_000)] + ["różany ogród"]
+    letters = letter_statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    counts = sum(map(letter_pairs, CLEAN[:4]), letter_pairs(""))
+    assert letters.pair == Letters({p: 2_250 * n for p, n in counts.items()} | letter_pairs("różany ogród")).pair
+
+
 #: Share of pages found, and of these restored exactly, that is asked for; what a single-byte mix-up leaves is often true text.
 ASKED = {
     ("utf-8", "cp1252"): (0.99, 0.99), ("utf-8", "latin-1"): (0.99, 0.99), ("utf-8", "cp437"): (0.99, 0.99), ("cp1252", "latin-1"): (0.99, 0.97),
